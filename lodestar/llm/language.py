@@ -120,22 +120,26 @@ def fit(docs: DataFrame, docs_per_lang: int = 600, chars_per_doc: int = 5_000, m
     return Model(langs, words, as_counts("g"), max_n)
 
 
-def _predict(model):
+def _predict(model, text: int, drop: bool):
     def run(batches):
         m = model.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "lang_pred", "score"])
+            got = [m.predict(t) for t in batch.column(text).to_pylist()]
+            n = batch.num_columns - drop
+            cols = [*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:n], "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` of its ``text``."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{schema + ', ' if schema else ''}lang_pred string, score double")
+    rows = docs.select(*keep)
+    if drop := "text" not in rows.columns:
+        rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if not (drop and f.name == "text")]
+    udf = _predict(docs.sparkSession.sparkContext.broadcast(model), rows.columns.index("text"), drop)
+    return rows.mapInArrow(udf, ", ".join([*out, "lang_pred string", "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

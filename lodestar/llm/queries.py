@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import common, decontaminate, language, lines, minhash, packing, substrings, token_files
+from lodestar.llm import common, decontaminate, embeddings, language, licenses, lines, minhash, packing, pii, substrings, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def vocabulary(name: str) -> str:
     return os.path.join("/opt/tokenizers", name)
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_near_duplicates(_read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -65,6 +69,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.scratch(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -81,8 +89,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, F.col("doc_id"), language.held_out(F.col("doc_id")).alias("held_out"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_best_fit_packing, op7_token_files, op8_decontamination, op9_language_id)}
+    return {f.__name__: f for f in (op1_cover_tree, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_best_fit_packing, op6_license_scan, op7_token_files, op8_decontamination, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
