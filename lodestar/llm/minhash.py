@@ -6,8 +6,9 @@ permutations make all coordinates. Rows of coordinates form bands; documents tha
 candidate counts only after the exact Jaccard similarity of its full shingle sets.
 
 Hot groups. Documents with equal shingle sets become one class before anything is paired. Inside a bucket all members
-are compared with its least member only; classes that this does not connect are compared across components in a second
-step, so that no link between components is lost and pairs inside a component are never listed.
+are compared with its most typical member only; classes that this does not connect are compared across components in a
+second step behind exact filters, so that no link between components is lost and pairs inside a component are never
+listed.
 
 Defined results: null, empty or all-blank text has 0 shingles and links with nothing; fewer words than a shingle make
 one shingle of all of them; rows that repeat a doc_id are one document; a row with null doc_id comes back with null
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import components, mix64, stash, texts_as_bytes, word_hashes
@@ -113,44 +114,81 @@ def _set_maker(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(need, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stash(texts.mapInArrow(_set_maker(width), "node long, shingles array<long>"), "sets")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     n = two.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return n.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b").distinct()
 
 
+_FITS = "least({0}, {1}) * 100 >= greatest({0}, {1}) * {2}"
+
+
+def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and two components that can still be similar; ``members(bucket, doc_id, n_shingles, a)``.
+
+    Members are described by what they add to and lack of their bucket's centre a. Two that are similar either add a
+    shingle in common, and then one of the rarest that each adds (the prefix filter: of the nA added shingles all but
+    the overlap that similarity demands, plus one), or add nothing in common, and then their sizes alone bound how far
+    they differ. Both tests are exact, so no similar pair is missed.
+    """
+    placed = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "a", F.coalesce("component", "doc_id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    open_ = stash(placed.join(mixed, "bucket").where("doc_id <> a"), "open")
+    pairs = open_.select("a", "doc_id", "c").distinct()
+    full = pairs.join(sets.select(F.col("node").alias("doc_id"), F.col("shingles").alias("sx")), "doc_id").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    added = full.select("a", "doc_id", "c", F.size("sx").alias("nx"), F.size("sa").alias("nc"), F.array_except("sx", "sa").alias("more"))
+    delta = stash(added.select("a", "doc_id", "c", "nx", "more", F.size("more").alias("na"), (F.col("nc") - F.col("nx") + F.size("more")).alias("nr")), "delta")
+
+    rows = delta.select("a", "doc_id", "c", "nx", "na", F.explode("more").alias("e"))
+    often = rows.groupBy("a", "e").agg(F.count("*").alias("f"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("nx") * percent / 100) - (F.col("nx") - F.col("na")))
+    order = Window.partitionBy("a", "doc_id").orderBy("f", "e")
+    prefix = rows.join(often, ["a", "e"]).withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("na") - need + 1) & (F.col("f") > 1)).select("a", "e", "doc_id", "c", "nx")
+    prefix = stash(prefix, "prefix")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    share = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))).where(_FITS.format("x.nx", "y.nx", percent))
+    share = share.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+    shape = ["bucket", "nx", "na", "nr"]
+    shaped = open_.join(delta.select("a", "doc_id", "nx", "na", "nr"), ["a", "doc_id"])
+    kinds = stash(shaped.groupBy(*shape).agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "shapes")
+    p, q = (kinds.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "lo", "hi"))) for i in (1, 2))
+    apart = (F.col("na1") + F.col("na2") + F.abs(F.col("nr1") - F.col("nr2"))) * (100 + percent) <= (F.col("nx1") + F.col("nx2")) * (100 - percent)
+    near = p.join(q, "bucket").where(apart & ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("bucket", "nx1", "na1", "nr1", "nx2", "na2", "nr2")
+    u, v = (shaped.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "doc_id", "c"))) for i in (1, 2))
+    close = near.join(u, ["bucket", "nx1", "na1", "nr1"]).join(v, ["bucket", "nx2", "na2", "nr2"]).where("doc_id1 < doc_id2 and c1 <> c2").select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
+    return share.union(close).distinct()
+
+
 def minhash_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row for each input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = stash(docs.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketch")
     some = sk.where("n_shingles > 0 and doc_id is not null")
     # a class of equal sets is one node, named by its least doc_id
-    shared = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "node")
+    shared = stash(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "node"), "classes")
     named = some.join(shared, ["d1", "d2"], "left")
     reps = named.where("node is null or node = doc_id").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("hash", "band").alias("bucket"), "doc_id", "n_shingles")
-    least = reps.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id < last").select("bucket", F.col("p.doc_id").alias("a"), F.col("p.n_shingles").alias("na"))
-    members = stash(reps.join(least, "bucket").select("bucket", "doc_id", "n_shingles", "a", "na"), "buckets")
-    fits = "least({0}, {1}) * 100 >= greatest({0}, {1}) * {2}"
-    stars = members.where("doc_id <> a").where(fits.format("n_shingles", "na", percent)).select("a", F.col("doc_id").alias("b")).distinct()
-    links = stash(_confirmed(stash(stars, "stars"), docs, width, percent), "links")
+    crowds = stash(reps.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size"), "crowds")
+    found = stash(reps.join(crowds, "bucket"), "found")
+    # the centre of a bucket is its most typical member: the one that meets most others over all bands
+    typical = found.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    centre = found.join(typical, "doc_id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "n_shingles")).alias("m")).select("bucket", (-F.col("m.id")).alias("a"), F.col("m.n_shingles").alias("na"))
+    members = stash(found.join(stash(centre, "centres"), "bucket").select("bucket", "doc_id", "n_shingles", "a", "na"), "members")
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = stash(texts.mapInArrow(_set_maker(width), "node long, shingles array<long>"), "sets")
+    stars = members.where("doc_id <> a").where(_FITS.format("n_shingles", "na", percent)).select("a", F.col("doc_id").alias("b")).distinct()
+    links = stash(_confirmed(stars, sets, percent), "links")
     comp = stash(components(links), "comp")
     # whatever a bucket still holds of several components is compared across them
-    placed = members.select("bucket", "doc_id", "n_shingles", "a").join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", "a", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = stash(placed.join(mixed, "bucket"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.doc_id") != F.col("x.a"))).where(fits.format("x.n_shingles", "y.n_shingles", percent))
-    more = stash(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    more = stash(_across(members, comp, sets, percent), "across")
     if not more.isEmpty():
-        links = links.union(stash(_confirmed(more, docs, width, percent), "links"))
+        links = links.union(stash(_confirmed(more, sets, percent), "links"))
         comp = stash(components(links), "comp")
     # members of a class follow its node; documents alone keep their own id
     twin = shared.join(comp, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("c1"))
-    out = sk.join(twin, ["d1", "d2"], "left").join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("c2")), "doc_id", "left")
+    out = sk.select("doc_id", "n_shingles", "d1", "d2").join(stash(twin, "twins"), ["d1", "d2"], "left").join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("c2")), "doc_id", "left")
     c = F.when(F.col("n_shingles") > 0, F.coalesce("c1", "c2", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", c.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
