@@ -86,7 +86,7 @@ STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 _C, _V = "[^aeiouy]", "[aeiouy]"  # after step 0 a consonant y is written Y
-_M0, _M1 = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}{_V}+{_C}"
+_M0, _M1 = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}+{_C}"
 _CVC = f"{_C}{_V}[^aeiouywxY\\x80-\\x{{10FFFF}}]$"  # a letter beyond ASCII is several bytes and so never ends cvc
 _DOUBLE = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + ")$"
 
@@ -113,7 +113,7 @@ def _first(w: Column, cases: list[tuple[Column, Column]]) -> Column:
 def _step(w: Column, n: int) -> Column:
     """Step n of the stemmer on the working string."""
     if n == 0:
-        return F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiou])y", "$1Y")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiou])y", "$1Y"), "yy", "yY")
     if n == 1:
         return _first(w, [(w.endswith("sses"), _cut(w, 2)), (w.endswith("ies"), _cut(w, 2)), (w.endswith("ss"), w), (w.endswith("s"), _cut(w, 1))])
     if n == 2:

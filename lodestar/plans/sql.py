@@ -26,7 +26,7 @@ def _m0(x: str) -> str:
 
 
 def _m1(x: str) -> str:
-    return f"regexp_matches({x}, '^{_C}*{_V}+{_C}{_V}+{_C}')"
+    return f"regexp_matches({x}, '^{_C}*{_V}+{_C}+{_V}+{_C}')"
 
 
 def _cut(x: str, n: int) -> str:
@@ -46,7 +46,7 @@ def stems(source: str) -> str:
     double = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + ")$"
     u = _cut("w", 1)
     steps = [
-        r"regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\1Y', 'g')",
+        r"regexp_replace(regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g')",
         f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {_cut('w', 2)} WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN {u} ELSE w END",
         f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {_m0(_cut('w', 3))} THEN {u} ELSE w END "
         + " ".join(f"WHEN suffix(w, '{s}') THEN CASE WHEN regexp_matches({_cut('w', len(s))}, '{_V}') THEN {_cut('w', len(s))} || '#' ELSE w END" for s in ("ed", "ing"))
