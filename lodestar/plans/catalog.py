@@ -359,7 +359,8 @@ def query_cost(spark, d):
     return s.agg(F.round(F.avg("postings_scored"), 6).alias("postings"), F.round(F.avg("full_evaluations"), 6).alias("evaluations"), F.round(F.avg("blocks_decoded"), 6).alias("blocks"), load.exact_percentile("postings_scored", "0.95").cast("long").alias("p95_postings"))
 
 
-_LCG = "((({x}) % 1000003 + {s}) * 48271) % 2147483647"
+_STEP = "((CAST({x} AS BIGINT) % 1000003 + {s}) * 48271 % 2147483647)"
+_LCG = f"(({_STEP} * {_STEP}) % 2147483647 * 69621) % 2147483647"
 
 
 @query(f"SELECT item_id AS qid, text FROM benchmark ORDER BY {_LCG.format(x='item_id', s=11)}, item_id LIMIT 25")
