@@ -88,7 +88,7 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
 _C, _V = "[^aeiouy]", "[aeiouy]"  # after step 0 a consonant y is written Y
 _M0, _M1 = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}+{_C}"
 _CVC = f"{_C}{_V}[^aeiouywxY\\x80-\\x{{10FFFF}}]$"  # a letter beyond ASCII is several bytes and so never ends cvc
-_DOUBLE = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + ")$"
+_DOUBLE = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + "|yY)$"
 
 
 def _cut(w: Column, n: int) -> Column:

@@ -43,7 +43,7 @@ def _replace(pairs, test) -> str:
 
 def stems(source: str) -> str:
     """``(term, stem)`` of the distinct terms of ``source(term)``."""
-    double = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + ")$"
+    double = "(?:" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789") + "|yY)$"
     u = _cut("w", 1)
     steps = [
         r"regexp_replace(regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g')",
