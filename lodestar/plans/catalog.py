@@ -55,14 +55,9 @@ def _once(spark, d, what, make):
 
 
 def qrels_of(spark, d):
-    """Documents that hold the item's text; graded by their quality label.
-
-    Items are found by the first 64 bits of their words' windows: items are few words long, so both sides are hashed on
-    their first five words and the whole text is checked after the equi-join.
-    """
+    """Documents that hold the item's text, graded by their quality label; items are a block of checked size."""
 
     def make():
-        # an item may begin inside a word of the document, so a hash of words cannot find it: check a bounded block of items in one expression
         items = table(spark, d, "benchmark").select("item_id", "text").collect()
         if sum(len(r.text) for r in items) > 4_000_000:
             raise ValueError("work the benchmark off in blocks")
