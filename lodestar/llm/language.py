@@ -28,40 +28,43 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
+    """Rows of evidence by word and by n-gram; ``langs`` are the columns."""
+
     def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], max_n: int, discount: float = 0.4, tempered: int = 20):
         self.langs, self.max_n, self.tempered = langs, max_n, tempered
-        self.words = self._logs(words, 1.0)
+        self.words, self.word_logs = self._logs(words, 1.0)
         by_n: dict[int, dict[str, list[int]]] = defaultdict(dict)
         for g, c in grams.items():
             by_n[len(g)][g] = c
-        self.grams: dict[str, np.ndarray] = {}
+        self.grams, parts = {}, [np.zeros((0, len(langs)))]
         for n, part in by_n.items():
-            cost = (max_n - n) * np.log(discount)
-            self.grams |= {g: v + cost for g, v in self._logs(part, 0.5).items()}
-        self.none = np.zeros(len(langs))
+            at, logs = self._logs(part, 0.5)
+            base = sum(map(len, parts))
+            self.grams |= {g: base + i for g, i in at.items()}
+            parts.append(logs + (max_n - n) * np.log(discount))
+        self.gram_logs = np.concatenate(parts)
         self.memo: dict[str, np.ndarray] = {}
 
-    def _logs(self, counts: dict[str, list[int]], add: float) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
+    @staticmethod
+    def _logs(counts: dict[str, list[int]], add: float) -> tuple[dict[str, int], np.ndarray]:
         m = np.array(list(counts.values()), np.float64)
+        if not len(m):
+            return {}, np.zeros((0, 0))
         logs = np.log((m + add) / (m.sum(axis=0) + add * len(m)))
         logs -= logs.mean(axis=1, keepdims=True)  # only differences between languages matter
-        return dict(zip(counts, logs, strict=True))
+        return {w: i for i, w in enumerate(counts)}, logs
 
-    def word(self, w: str) -> np.ndarray:
-        """Evidence of one lower-case word."""
-        if (v := self.words.get(w)) is not None:
-            return v
+    def backed_off(self, w: str) -> np.ndarray:
+        """Evidence of a word that is not known: the mean over its places of the longest known n-gram there."""
         if (v := self.memo.get(w)) is not None:
             return v
-        t, total, places = f" {w} ", self.none, 0
+        t, rows, known = f" {w} ", [], self.grams.get
         for i in range(len(t)):
-            for n in range(min(self.max_n, len(t) - i), 0, -1):
-                if (g := self.grams.get(t[i : i + n])) is not None:
-                    total, places = total + g, places + 1
+            for n in range(i + self.max_n, i, -1):
+                if (g := known(t[i:n])) is not None:
+                    rows.append(g)
                     break
-        v = total / max(1, places)
+        v = self.gram_logs[rows].sum(axis=0) / max(1, len(rows))
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[w] = v
@@ -71,10 +74,16 @@ class Model:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
-        n, total = 0, self.none.copy()
+        rows, times, total = [], [], np.zeros(len(self.langs))
         for w, k in Counter(words).items():
-            total += k * self.word(w)
-            n += k
+            if (i := self.words.get(w)) is not None:
+                rows.append(i)
+                times.append(k)
+            else:
+                total += k * self.backed_off(w)
+        if rows:
+            total += np.array(times, np.float64) @ self.word_logs[rows]
+        n = len(words)
         z = total * (min(n, self.tempered) / n)
         p = np.exp(z - z.max())
         best = int(np.argmax(z))
@@ -82,9 +91,12 @@ class Model:
 
 
 def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
-    """The bounded training sample: rows (text, lang)."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    return docs.where("lang is not null and text is not null").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= docs_per_lang).select("text", "lang")
+    """The bounded training sample: rows (text, lang). Only hashes are ranked; texts of the sample alone move."""
+    rows = docs.where("lang is not null and text is not null").withColumn("__h", F.xxhash64("doc_id", "text"))
+    w = Window.partitionBy("lang").orderBy("__h")
+    top = rows.select("lang", "__h").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= docs_per_lang)
+    cut = top.groupBy("lang").agg(F.max("__h").alias("__cut"))
+    return rows.join(cut, "lang").where("__h <= __cut").select("text", "lang", "__h").dropDuplicates(["lang", "__h"]).select("text", "lang")
 
 
 def _count(max_n: int, chars: int):
