@@ -148,6 +148,16 @@ def test_dense_indexes(spark):
     assert len(set(some)) == 50 and {(i,) for i in range(5)} <= set(some)
 
 
+def test_ivf_pq_reaches_its_recall(spark, sf):
+    from lodestar.plans import catalog
+
+    q, v = catalog.vectors_of(spark, sf)
+    exact = dense.exact_knn(q, v, catalog.K)
+    assert np.mean([r.recall for r in metrics.recall_against(catalog.QUERIES["ivf_pq"](spark, sf), exact, catalog.K).collect()]) >= 0.9
+    none = v.where("false")
+    assert dense.ivf_pq_search(q, none, 10).count() == 0 and dense.ivf_pq_search(none.withColumnRenamed("vec_id", "qid"), v, 10).count() == 0
+
+
 def test_ranking(spark):
     run = spark.createDataFrame([(1, d, float(9 - i), i + 1) for i, d in enumerate([10, 11, 12, 13, 14, 15])] + [(2, 10, 1.0, 1)], "qid long, doc_id long, score double, rank int")
     qrels = spark.createDataFrame([(1, 11, 2), (1, 15, 1)], "qid long, doc_id long, rel int")
