@@ -151,7 +151,7 @@ def test_dense_indexes(spark):
 def test_ivf_pq_reaches_its_recall(spark, sf):
     from lodestar.plans import catalog
 
-    q, v = catalog.vectors_of(spark, sf)
+    q, v = catalog.all_vectors_of(spark, sf)
     exact = dense.exact_knn(q, v, catalog.K)
     assert np.mean([r.recall for r in metrics.recall_against(catalog.QUERIES["ivf_pq"](spark, sf), exact, catalog.K).collect()]) >= 0.9
     none = v.where("false")
