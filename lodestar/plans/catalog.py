@@ -92,6 +92,15 @@ def vectors_of(spark, d):
     return v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), "embedding", "label"), v.where("vec_id >= 50").select("vec_id", "embedding", "label")
 
 
+#: Depth of a run, and the survivors of the cascade, where no older SQL fixes 100 and 30.
+DEEP, SURVIVORS = 1000, 100
+
+
+def _deep(oracle: str) -> str:
+    """The same SQL at full depth."""
+    return oracle.replace(sql.run(100), sql.run(DEEP)).replace("place <= 30", f"place <= {SURVIVORS}")
+
+
 def all_vectors_of(spark, d):
     """Every vector whose id is divisible by 100 as a query, and the whole table, which the queries are part of."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -165,6 +174,11 @@ def trec_run_lines(spark, d):
     return files.run_lines(run_of(spark, d), "bm25", 20)
 
 
+@query(_deep(ORACLES["trec_run_lines"]).removesuffix(" WHERE rank2 <= 20"))
+def trec_run_lines_deep(spark, d):
+    return files.run_lines(run_of(spark, d, DEEP), "bm25", DEEP)
+
+
 @query(f"WITH {sql.index()}, {sql.run(100)} SELECT CAST(qid AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 6) AS score FROM run")
 def trec_run_reader(spark, d):
     lines = files.run_lines(run_of(spark, d), "bm25").select("value", F.col("rank").alias("at"))
@@ -387,6 +401,11 @@ def evaluate_means(spark, d):
     return metrics.evaluate(run_of(spark, d), qrels_of(spark, d))
 
 
+@query(_deep(ORACLES["evaluate_means"]))
+def evaluate_means_deep(spark, d):
+    return metrics.evaluate(run_of(spark, d, DEEP), qrels_of(spark, d))
+
+
 @query(f"WITH {_IX}, {sql.run(100)}, {sql.QRELS}, {sql.METRICS.format(t=2)} SELECT qid, mrr_10, recall_100 FROM pq")
 def graded_threshold(spark, d):
     return metrics.per_query(run_of(spark, d), qrels_of(spark, d), 2).select("qid", "mrr_10", "recall_100")
@@ -658,14 +677,14 @@ def candidate_texts(spark, d):
 _FEAT = f"{_BASE}, ft AS MATERIALIZED (SELECT r.qid, r.doc_id, r.rank, r.score AS bm25, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dense, length(t.text) AS doc_len FROM run r JOIN embeddings a ON a.vec_id = r.qid % 50 JOIN embeddings b ON b.vec_id = 50 + r.doc_id % 400 JOIN documents t ON t.doc_id = r.doc_id)"
 
 
-def _features(spark, d):
+def _features(spark, d, depth=100):
     def make():
-        e, run = table(spark, d, "embeddings").select("vec_id", "embedding"), run_of(spark, d)
+        e, run = table(spark, d, "embeddings").select("vec_id", "embedding"), run_of(spark, d, depth)
         qv = queries_of(spark, d).select("qid", F.pmod("qid", F.lit(50)).alias("vec_id")).join(e, "vec_id").select("qid", "embedding")
         dv = documents(spark, d).select(F.col("doc_id").alias("id"), (F.lit(50) + F.pmod("doc_id", F.lit(400))).alias("vec_id")).join(e, "vec_id").select(F.col("id").alias("vec_id"), "embedding")
         return rank.pair_features(run.withColumnRenamed("score", "bm25"), qv, dv, documents(spark, d)).cache()
 
-    return _once(spark, d, "features", make)
+    return _once(spark, d, ("features", depth), make)
 
 
 @query(f"WITH {_FEAT} SELECT * FROM ft")
@@ -703,12 +722,12 @@ _NET = f"round({_B2} + " + " + ".join(f"greatest({_B1[j]} + z1 * {_W1[0][j]} + z
 _SURV = f"{_SC}, sv AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS place FROM (SELECT *, {_NET} AS s FROM z)) WHERE place <= 30)"
 
 
-def _survivors(spark, d):
-    f = _features(spark, d)
+def _survivors(spark, d, depth=100, keep=30):
+    f = _features(spark, d, depth)
     s = rank.transform(f, rank.fit_scaler(f))
     net = rank.Mlp.of(_W1, _B1, _W2, _B2).column(*(F.col(f"{x}_z") for x in rank.FEATURES))
     w = Window.partitionBy("qid").orderBy(F.desc("s"), "rank")
-    return s.withColumn("s", F.round(net, 5)).withColumn("place", F.row_number().over(w)).where("place <= 30")
+    return s.withColumn("s", F.round(net, 5)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
 
 
 @query(f"WITH {_SURV} SELECT qid, doc_id, s, place FROM sv")
@@ -716,6 +735,11 @@ def mlp_survivors_fixed(spark, d):
     return _survivors(spark, d).select("qid", "doc_id", "s", "place")
 
 
+@query(_deep(ORACLES["mlp_survivors_fixed"]))
+def mlp_survivors_deep(spark, d):
+    return _survivors(spark, d, DEEP, SURVIVORS).select("qid", "doc_id", "s", "place")
+
+
 @query(f"WITH {_SURV}, t AS (SELECT qid, doc_id FROM run WHERE rank <= 10) SELECT t.qid, round(count(sv.doc_id) / count(*), 6) AS consistency FROM t LEFT JOIN sv USING (qid, doc_id) GROUP BY t.qid")
 def prerank_consistency(spark, d):
     return rank.consistency(run_of(spark, d).where("rank <= 10"), _survivors(spark, d))
@@ -723,10 +747,10 @@ def prerank_consistency(spark, d):
 
 @query()
 def mlp_trained(spark, d):
-    f = _features(spark, d)
-    ex = rank.training_examples(run_of(spark, d), qrels_of(spark, d)).join(f, ["qid", "doc_id"])
+    f = _features(spark, d, DEEP)
+    ex = rank.training_examples(run_of(spark, d, DEEP), qrels_of(spark, d)).join(f, ["qid", "doc_id"])
     scaler, net = rank.train(ex)
-    return rank.survivors(f, scaler, net, 30).select("qid", "doc_id", "place")
+    return rank.survivors(f, scaler, net, SURVIVORS).select("qid", "doc_id", "place")
 
 
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -735,7 +759,16 @@ _CAS = f"{_SURV}, cs AS MATERIALIZED (SELECT sv.qid, sv.doc_id, round(len(list_i
 
 @query(f"WITH {_CAS} SELECT qid, doc_id, score FROM cs")
 def rescored_survivors(spark, d):
-    s = _survivors(spark, d).select("qid", "doc_id").join(queries_of(spark, d).withColumnRenamed("text", "query"), "qid").join(documents(spark, d), "doc_id")
+    return _rescored(spark, d, _survivors(spark, d))
+
+
+@query(_deep(ORACLES["rescored_survivors"]))
+def rescored_survivors_deep(spark, d):
+    return _rescored(spark, d, _survivors(spark, d, DEEP, SURVIVORS))
+
+
+def _rescored(spark, d, kept):
+    s = kept.select("qid", "doc_id").join(queries_of(spark, d).withColumnRenamed("text", "query"), "qid").join(documents(spark, d), "doc_id")
     return s.select("qid", "doc_id", rank.overlap_score(F.col("query"), F.col("text")).alias("score"))
 
 
@@ -744,6 +777,11 @@ def cascade_metrics(spark, d):
     return metrics.evaluate(rescored_survivors(spark, d), qrels_of(spark, d)).select("queries", "ndcg_10", "recall_100")
 
 
+@query(_deep(ORACLES["cascade_metrics"]))
+def cascade_metrics_deep(spark, d):
+    return metrics.evaluate(rescored_survivors_deep(spark, d), qrels_of(spark, d)).select("queries", "ndcg_10", "recall_100")
+
+
 @query("WITH q AS (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM benchmark), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT i, qid, doc_id FROM range(0, 256) t(i) JOIN q ON q.p = i % q.n JOIN x ON x.p = i % x.n")
 def request_pairs(spark, d):
     return rank.request_pairs(queries_of(spark, d), documents(spark, d))

@@ -34,3 +34,17 @@ def test_dense_queries_search_every_vector(spark, sf, con):
         assert {r.qid for r in rows} == {i for i in ids if i % 100 == 0}
         # a vector is the nearest to itself, which a table without the queries cannot show
         assert all(r.doc_id == r.qid for r in rows if r.rank == 1)
+
+
+@pytest.mark.parametrize("name", ["evaluate_means_deep", "trec_run_lines_deep", "mlp_survivors_deep", "rescored_survivors_deep", "cascade_metrics_deep"])
+def test_runs_are_deep(spark, sf, con, name):
+    old = {"trec_run_lines_deep": "trec_run_lines", "mlp_survivors_deep": "mlp_survivors_fixed"}.get(name, name.removesuffix("_deep"))
+    assert "<= 1000" in ORACLES[name] and ORACLES[name] != ORACLES[old]
+    same(spark, sf, con, name)
+
+
+def test_depths(spark, sf):
+    depth = QUERIES["evaluate_means_deep"](spark, sf).first().run_depth
+    assert depth > 100
+    for name in ("mlp_survivors_deep", "mlp_trained"):
+        assert QUERIES[name](spark, sf).agg(F.max("place")).first()[0] == min(depth, 100)
