@@ -638,8 +638,11 @@ four AS (SELECT DISTINCT channel FROM c4)"""
 
 @query(f"WITH {_IX}, {_CH}, {sql.QRELS}, {_FC} SELECT channel, round(avg(round(coalesce(d10, 0) / i10, 6)), 6) AS ndcg_10, round(avg(round(coalesce(h, 0) / w, 6)), 6) AS recall_1000 FROM (SELECT four.channel, i.*, g.d10, g.h FROM four CROSS JOIN i LEFT JOIN g ON g.channel = four.channel AND g.qid = i.qid) GROUP BY channel")
 def fusion_compare(spark, d):
-    ch, rel = _channels(spark, d), qrels_of(spark, d)
-    runs = {"lexical": ch.where("channel = 'lexical'"), "short": ch.where("channel = 'short'"), "rrf": fusion.rrf(ch), "score": fusion.score_fusion(ch)}
+    return _compare(_channels(spark, d), "short", qrels_of(spark, d))
+
+
+def _compare(ch, second, rel):
+    runs = {"lexical": ch.where("channel = 'lexical'"), second: ch.where(F.col("channel") == second), "rrf": fusion.rrf(ch), "score": fusion.score_fusion(ch)}
     out = None
     for name, r in runs.items():
         e = metrics.evaluate(r.select("qid", "doc_id", "score"), rel).select(F.lit(name).alias("channel"), "ndcg_10", "recall_1000")
@@ -647,6 +650,42 @@ def fusion_compare(spark, d):
     return out
 
 
+def encoded_of(spark, d):
+    """Vectors of all queries and all documents by the stand-in encoder."""
+    q = dense.hashed_encoder(queries_of(spark, d), "qid")
+    return q, dense.hashed_encoder(documents(spark, d), "doc_id").withColumnRenamed("doc_id", "vec_id")
+
+
+def _dense_channels(spark, d):
+    """Lexical search and a dense search of its own over all documents; the encoder's hashes have no SQL."""
+
+    def make():
+        near = dense.exact_knn(*encoded_of(spark, d), DEEP).select("qid", F.lit("dense").alias("channel"), "doc_id", "score", "rank")
+        return run_of(spark, d, DEEP).select("qid", F.lit("lexical").alias("channel"), "doc_id", "score", "rank").union(near).cache()
+
+    return _once(spark, d, "dense channels", make)
+
+
+@query()
+def rrf_dense(spark, d):
+    return fusion.fuse(_dense_channels(spark, d), "rrf")
+
+
+@query()
+def minmax_norm_dense(spark, d):
+    return fusion.min_max(_dense_channels(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def score_fusion_dense(spark, d):
+    return fusion.fuse(_dense_channels(spark, d), "score")
+
+
+@query()
+def fusion_compare_dense(spark, d):
+    return _compare(_dense_channels(spark, d), "dense", qrels_of(spark, d))
+
+
 @query(f"WITH {sql.QRELS}, u AS (SELECT DISTINCT doc_id FROM qrels), f AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM u) ORDER BY {_LCG.format(x='doc_id', s=1)}, doc_id LIMIT (SELECT 150 - count(*) FROM u)) SELECT doc_id FROM u UNION ALL SELECT doc_id FROM f")
 def subset_fill(spark, d):
     return dense.subset_ids(qrels_of(spark, d), documents(spark, d), 150)
@@ -813,6 +852,11 @@ def merge_plan(spark, d):
     return nrt.pick_merge(x)
 
 
+@query(ORACLES["merge_plan"].replace(" WHERE doc_id % 11 < doc_id % 23", ""))
+def merge_plan_all(spark, d):
+    return nrt.pick_merge(documents(spark, d).groupBy(F.pmod("doc_id", F.lit(11)).cast("int").alias("position")).agg(F.count("*").alias("doc_count")))
+
+
 @query("WITH t AS (SELECT user_id AS step, count(*) AS segments FROM events GROUP BY user_id), l AS (SELECT step, segments, segments - lag(segments) OVER (ORDER BY step) AS change FROM t) SELECT step, segments, change FROM l WHERE change < 0")
 def segment_trace(spark, d):
     t = table(spark, d, "events").groupBy(F.col("user_id").alias("step")).agg(F.count("*").alias("segments"))

@@ -1,6 +1,7 @@
 """Registered queries that do the whole job where an older query's SQL fixes a part of it."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_catalog import plain
@@ -48,3 +49,20 @@ def test_depths(spark, sf):
     assert depth > 100
     for name in ("mlp_survivors_deep", "mlp_trained"):
         assert QUERIES[name](spark, sf).agg(F.max("place")).first()[0] == min(depth, 100)
+
+
+def test_fusion_meets_documents_that_bm25_misses(spark, sf):
+    q, v = (x.collect() for x in catalog.encoded_of(spark, sf))
+    x = np.array([r.embedding for r in v])
+    ids = np.array([r.vec_id for r in v])
+    want = {(r.qid, int(j)) for r in q for j in ids[np.lexsort((ids, -np.round(x @ np.array(r.embedding), 6)))[: catalog.DEEP]]}
+    lexical = {(r.qid, r.doc_id) for r in catalog.run_of(spark, sf, catalog.DEEP).collect()}
+    fused = {(r.qid, r.doc_id) for r in QUERIES["rrf_dense"](spark, sf).collect()}
+    assert fused == want | lexical and want - lexical
+    four = {r.channel: r for r in QUERIES["fusion_compare_dense"](spark, sf).collect()}
+    assert set(four) == {"lexical", "dense", "rrf", "score"}
+
+
+def test_merge_plan_counts_all_documents(spark, sf, con):
+    assert " % 23" not in ORACLES["merge_plan_all"]
+    same(spark, sf, con, "merge_plan_all")
