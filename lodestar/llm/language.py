@@ -6,8 +6,8 @@ counts, each shorter step at a discount. A text's language has the largest sum;
 language when the mean evidence of a word is counted up to ``tempered`` words.
 
 The model is fitted on a bounded sample of labelled rows: the ``docs_per_lang`` rows of each language with the least hash of
-(doc_id, text), of which at most ``chars_per_doc`` characters train. It keeps at most ``max_words`` words and
-``max_grams`` n-grams, the most frequent ones. Prediction reads whole texts and nothing but the text.
+(doc_id, text), whose whole texts train. It keeps the ``max_words`` words and ``max_grams`` n-grams that are most
+frequent in each language, so that a rare language keeps its own. Prediction reads whole texts and nothing but the text.
 
 Defined results: null text and text without a letter are ``und`` with score 0; rows without a language never train; if
 no row is labelled every prediction is ``und``; rows that repeat a doc_id are predicted one by one; equal scores go to the language
@@ -99,12 +99,12 @@ def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
     return rows.join(cut, "lang").where("__h <= __cut").select("text", "lang", "__h").dropDuplicates(["lang", "__h"]).select("text", "lang")
 
 
-def _count(max_n: int, chars: int):
+def _count(max_n: int):
     def run(batches):
         words, grams = Counter(), Counter()
         for batch in batches:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in _WORD.findall(t[:chars].lower()):
+                for w in _WORD.findall(t.lower()):
                     words[lang, w] += 1
         for (lang, w), k in words.items():
             s = f" {w} "
@@ -119,12 +119,14 @@ def _count(max_n: int, chars: int):
     return run
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 600, chars_per_doc: int = 5_000, max_words: int = 50_000, max_grams: int = 80_000, max_n: int = 5) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = 600, max_words: int = 50_000, max_grams: int = 80_000, max_n: int = 5) -> Model:
     """A model of bounded size from ``docs(doc_id, text, lang)``."""
-    counts = sample(docs, docs_per_lang).mapInArrow(_count(max_n, chars_per_doc), "kind string, lang string, key string, n long")
-    per_key = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = lambda kind, k: per_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(k)
-    rows = {kind: top(kind, k).collect() for kind, k in (("w", max_words), ("g", max_grams))}
+    counts = sample(docs, docs_per_lang).mapInArrow(_count(max_n), "kind string, lang string, key string, n long")
+    most = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))
+    per_lang = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).withColumn("place", most)
+    per_key = per_lang.groupBy("kind", "key").agg(F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    kept = per_key.where(F.col("place") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).collect()
+    rows = {kind: sorted((r for r in kept if r.kind == kind), key=lambda r: r.key) for kind in "wg"}
     langs = sorted({x for r in rows["g"] for x in r.by})
     as_counts = lambda kind: {r.key: [r.by.get(x, 0) for x in langs] for r in rows[kind]}
     # a word met once says little about an unseen text: it backs off to its n-grams

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_catalog import plain
 
+from lodestar.llm import language
 from lodestar.plans import catalog
 from lodestar.plans.catalog import ORACLES, QUERIES
 
@@ -66,3 +67,11 @@ def test_fusion_meets_documents_that_bm25_misses(spark, sf):
 def test_merge_plan_counts_all_documents(spark, sf, con):
     assert " % 23" not in ORACLES["merge_plan_all"]
     same(spark, sf, con, "merge_plan_all")
+
+
+def test_language_model_reads_whole_texts_and_keeps_rare_languages(spark):
+    rows = [(i, "the cat sat on the mat " * 50, "en") for i in range(5)] + [(5, "xxxx " * 2_000 + "zorgle zorgle", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert "zorgle" in language.fit(docs).words
+    few = language.fit(docs, max_words=2, max_grams=5)
+    assert set(few.words) == {"the", "cat", "xxxx", "zorgle"} and few.langs == ["aa", "en"]
