@@ -5,140 +5,239 @@ known backs off to its character n-grams: at each place the longest known n-gram
 counts, each shorter step at a discount. A text's language has the largest sum; the score is the posterior of that
 language when the mean evidence of a word is counted up to ``tempered`` words.
 
-The model is fitted on a bounded sample of labelled rows: the ``docs_per_lang`` rows of each language with the least hash of
-(doc_id, text), whose whole texts train. It keeps the ``max_words`` words and ``max_grams`` n-grams that are most
-frequent in each language, so that a rare language keeps its own. Prediction reads whole texts and nothing but the text.
+The model is fitted on a bounded sample of labelled rows: the ``docs_per_lang`` rows of each language with the least
+hash of (doc_id, text), whose whole texts train. What bounds the model is that number of rows alone: every word and
+every n-gram that the sample holds ``least`` times is known. The sample is found without moving texts: distinct rows of
+each language are counted, which gives a hash below which several times the sample lies, and only rows below it are
+ranked. Rows count as the same if language, doc_id and text are. Keys are 64-bit hashes in sorted arrays, so a worker
+holds some bytes a key.
 
-Defined results: null text and text without a letter are ``und`` with score 0; rows without a language never train; if
-no row is labelled every prediction is ``und``; rows that repeat a doc_id are predicted one by one; equal scores go to the language
-that sorts first. Other columns are ignored.
+Defined results: null text and text without a letter (``str.isalpha``) are ``und`` with score 0; rows without a language
+or a text never train; if no row is labelled every prediction is ``und``; rows that repeat a doc_id are predicted one by
+one; equal scores go to the language that sorts first. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\W\d_]+")
+from lodestar.llm.common import mix64, stash
+
+_GRAM = np.uint64(0x9E3779B97F4A7C15)
+
+
+@cache
+def _word() -> re.Pattern:
+    """Runs of letters: word characters without digits, the underscore and numerals that are no letters."""
+    numerals = [c for c in range(0x110000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    runs, begin = [], None
+    for c, after in zip(numerals, [*numerals[1:], None], strict=True):
+        begin = c if begin is None else begin
+        if after != c + 1:
+            runs.append(f"{chr(begin)}-{chr(c)}")
+            begin = None
+    return re.compile(rf"[^\W\d_{''.join(runs)}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    return _word().findall(text.lower()) if text else []
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def gram_keys(words: list[str], max_n: int):
+    """(starts, ends, keys): the words between spaces, one after the other, each position's word end, and ``keys(n, at)``.
+
+    ``starts`` are the words' first positions in the joined text; ``keys(n, at)`` hashes the n-grams at the positions ``at``.
+    """
+    code = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+
+    def keys(n: int, at: np.ndarray) -> np.ndarray:
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = h * _GRAM + code[at + j]
+        return mix64(h)
+
+    return ends - sizes, np.repeat(ends, sizes), keys
 
 
 class Model:
-    """Rows of evidence by word and by n-gram; ``langs`` are the columns."""
-
-    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], max_n: int, discount: float = 0.4, tempered: int = 20):
-        self.langs, self.max_n, self.tempered = langs, max_n, tempered
-        self.words, self.word_logs = self._logs(words, 1.0)
-        by_n: dict[int, dict[str, list[int]]] = defaultdict(dict)
-        for g, c in grams.items():
-            by_n[len(g)][g] = c
-        self.grams, parts = {}, [np.zeros((0, len(langs)))]
-        for n, part in by_n.items():
-            at, logs = self._logs(part, 0.5)
-            base = sum(map(len, parts))
-            self.grams |= {g: base + i for g, i in at.items()}
-            parts.append(logs + (max_n - n) * np.log(discount))
-        self.gram_logs = np.concatenate(parts)
-        self.memo: dict[str, np.ndarray] = {}
+    """Evidence by word and by n-gram of each length; ``langs`` are the columns."""
+
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]], max_n: int, discount: float = 0.4, tempered: int = 20, memo: int = 100_000):
+        """``counts[n]``: sorted keys and counts by language, of words for n = 0 and of n-grams else."""
+        self.langs, self.max_n, self.tempered, self.memo = langs, max_n, tempered, memo
+        self.tables = {n: (keys, self._logs(m, 0.5 if n else 1.0) * np.float32(discount ** (max_n - n) if n else 1.0)) for n, (keys, m) in counts.items() if len(keys)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.evidence = np.zeros((0, len(self.langs)), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "evidence")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     @staticmethod
-    def _logs(counts: dict[str, list[int]], add: float) -> tuple[dict[str, int], np.ndarray]:
-        m = np.array(list(counts.values()), np.float64)
-        if not len(m):
-            return {}, np.zeros((0, 0))
+    def _logs(m: np.ndarray, add: float) -> np.ndarray:
         logs = np.log((m + add) / (m.sum(axis=0) + add * len(m)))
-        logs -= logs.mean(axis=1, keepdims=True)  # only differences between languages matter
-        return {w: i for i, w in enumerate(counts)}, logs
-
-    def backed_off(self, w: str) -> np.ndarray:
-        """Evidence of a word that is not known: the mean over its places of the longest known n-gram there."""
-        if (v := self.memo.get(w)) is not None:
-            return v
-        t, rows, known = f" {w} ", [], self.grams.get
-        for i in range(len(t)):
-            for n in range(i + self.max_n, i, -1):
-                if (g := known(t[i:n])) is not None:
-                    rows.append(g)
-                    break
-        v = self.gram_logs[rows].sum(axis=0) / max(1, len(rows))
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[w] = v
-        return v
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return "und", 0.0
-        rows, times, total = [], [], np.zeros(len(self.langs))
-        for w, k in Counter(words).items():
-            if (i := self.words.get(w)) is not None:
-                rows.append(i)
-                times.append(k)
-            else:
-                total += k * self.backed_off(w)
-        if rows:
-            total += np.array(times, np.float64) @ self.word_logs[rows]
-        n = len(words)
-        z = total * (min(n, self.tempered) / n)
-        p = np.exp(z - z.max())
-        best = int(np.argmax(z))
-        return self.langs[best], float(p[best] / p.sum())
+        return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)  # only differences between languages matter
+
+    def _find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are known, and the rows of these."""
+        if n not in self.tables:
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        have = self.tables[n][0]
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        hit = have[at] == keys
+        return hit, at[hit]
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Evidence of each word, float32 by language."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        hit, rows = self._find(0, word_keys(words))
+        if len(rows):
+            out[hit] = self.tables[0][1][rows]
+        if not (new := np.flatnonzero(~hit)).size:
+            return out
+        starts, ends, keys = gram_keys([words[i] for i in new], self.max_n)
+        total, met = np.zeros((len(ends), len(self.langs)), np.float32), np.zeros(len(ends), np.int64)
+        left = np.arange(len(ends))
+        for n in range(self.max_n, 0, -1):
+            at = left[left + n <= ends[left]]
+            got, rows = self._find(n, keys(n, at))
+            if len(rows):
+                total[at[got]] = self.tables[n][1][rows]
+                met[at[got]] = 1
+                left = np.flatnonzero(met == 0)
+        out[new] = np.add.reduceat(total, starts) / np.maximum(1, np.add.reduceat(met, starts))[:, None]
+        return out
+
+    def _evidence(self, words: list[str]) -> np.ndarray:
+        """Evidence of a run of words, by a bounded memo of distinct ones."""
+        if len(self.known) > self.memo:
+            self._forget()
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > before:
+            self.evidence = np.concatenate([self.evidence, self.of_words(list(islice(self.known, before, None)))])
+        return self.evidence[at]
+
+    def predict(self, texts: list[str | None], chunk: int = 65_536) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        words, sizes = [], []
+
+        def flush():
+            total = np.zeros((len(sizes), len(self.langs)))
+            n = np.array(sizes, np.int64)
+            some, at = np.flatnonzero(n), 0
+            if len(some) and self.langs:
+                if len(words) <= 2 * chunk:
+                    begins = np.cumsum(n)[some] - n[some]
+                    total[some] = np.add.reduceat(self._evidence(words).astype(np.float64), begins)
+                else:  # a very long text, by parts
+                    for d in some:
+                        for lo in range(at, at + sizes[d], chunk):
+                            total[d] += self._evidence(words[lo : min(lo + chunk, at + sizes[d])]).sum(axis=0, dtype=np.float64)
+                        at += sizes[d]
+            for d, k in enumerate(sizes):
+                if not k or not self.langs:
+                    out.append(("und", 0.0))
+                    continue
+                z = total[d] * (min(k, self.tempered) / k)
+                p = np.exp(z - z.max())
+                best = int(np.argmax(z))
+                out.append((self.langs[best], float(p[best] / p.sum())))
+
+        for t in texts:
+            got = words_of(t)
+            words += got
+            sizes.append(len(got))
+            if len(words) >= chunk:
+                flush()
+                words, sizes = [], []
+        flush()
+        return out
 
 
 def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
-    """The bounded training sample: rows (text, lang). Only hashes are ranked; texts of the sample alone move."""
-    rows = docs.where("lang is not null and text is not null").withColumn("__h", F.xxhash64("doc_id", "text"))
-    w = Window.partitionBy("lang").orderBy("__h")
-    top = rows.select("lang", "__h").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= docs_per_lang)
-    cut = top.groupBy("lang").agg(F.max("__h").alias("__cut"))
-    return rows.join(cut, "lang").where("__h <= __cut").select("text", "lang", "__h").dropDuplicates(["lang", "__h"]).select("text", "lang")
+    """The bounded training sample: rows (text, lang). Texts of a few times the sample move, no others."""
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), "text", "lang").alias("h"))
+    # one row a language reaches the driver, as one column of the model will
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    # the hash is uniform: eight times the sample lies below the cut, so that all of the sample does
+    cuts = [(r.lang, -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 8 * docs_per_lang / max(1, r.n)))) for r in sizes]
+    cut = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    some = rows.join(F.broadcast(cut), "lang").where("h <= cut").select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    w = Window.partitionBy("lang").orderBy("h")
+    return some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang).select("text", "lang")
 
 
 def _count(max_n: int):
     def run(batches):
-        words, grams = Counter(), Counter()
+        by: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in _WORD.findall(t.lower()):
-                    words[lang, w] += 1
-        for (lang, w), k in words.items():
-            s = f" {w} "
-            for i in range(len(s)):
-                for n in range(1, min(max_n, len(s) - i) + 1):
-                    grams[lang, s[i : i + n]] += k
-        for kind, counts in (("w", words), ("g", grams)):
-            if counts:
-                langs, keys = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(langs), pa.array(keys), pa.array(list(counts.values()), pa.int64())], ["kind", "lang", "key", "n"])
+                by[lang].update(words_of(t))
+        for lang, counter in by.items():
+            words, k = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
+            if not words:
+                continue
+            _, ends, keys = gram_keys(words, max_n)
+            times = np.repeat(k, [len(w) + 2 for w in words])
+            every = np.arange(len(ends))
+            for n in range(max_n + 1):
+                at = every[every + n <= ends]
+                key, of = np.unique(keys(n, at) if n else word_keys(words), return_inverse=True)
+                sums = np.bincount(of, weights=times[at] if n else k).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * len(key)), pa.array(sums)], ["n", "key", "lang", "times"])
 
     return run
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 600, max_words: int = 50_000, max_grams: int = 80_000, max_n: int = 5) -> Model:
-    """A model of bounded size from ``docs(doc_id, text, lang)``."""
-    counts = sample(docs, docs_per_lang).mapInArrow(_count(max_n), "kind string, lang string, key string, n long")
-    most = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))
-    per_lang = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).withColumn("place", most)
-    per_key = per_lang.groupBy("kind", "key").agg(F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = per_key.where(F.col("place") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).collect()
-    rows = {kind: sorted((r for r in kept if r.kind == kind), key=lambda r: r.key) for kind in "wg"}
-    langs = sorted({x for r in rows["g"] for x in r.by})
-    as_counts = lambda kind: {r.key: [r.by.get(x, 0) for x in langs] for r in rows[kind]}
-    # a word met once says little about an unseen text: it backs off to its n-grams
-    words = {w: c for w, c in as_counts("w").items() if sum(c) > 1}
-    return Model(langs, words, as_counts("g"), max_n)
+def fit(docs: DataFrame, docs_per_lang: int = 600, max_n: int = 5, least: int = 2) -> Model:
+    """A model from ``docs(doc_id, text, lang)``; a word or n-gram is known from ``least`` times in the sample on."""
+    rows = stash(sample(docs, docs_per_lang), "sample")
+    counts = rows.mapInArrow(_count(max_n), "n int, key long, lang string, times long").groupBy("n", "key", "lang").agg(F.sum("times").alias("times"))
+    got = counts.toArrow()  # bounded by the sample
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(lang.dictionary.to_pylist())
+    column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    n, key, times = (got.column(c).to_numpy() for c in ("n", "key", "times"))
+    tables = {}
+    for size in range(max_n + 1):
+        own = n == size
+        keys, row = np.unique(key[own].view(np.uint64), return_inverse=True)
+        m = np.zeros((len(keys), len(langs)))
+        np.add.at(m, (row, column[own]), times[own])
+        # a word met once says little about an unseen text: it backs off to its n-grams
+        enough = m.sum(axis=1) >= least
+        tables[size] = (keys[enough], m[enough])
+    return Model(langs, tables, max_n)
 
 
 def _predict(model, text: int, drop: bool):
     def run(batches):
         m = model.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(text).to_pylist()]
+            got = m.predict(batch.column(text).to_pylist())
             n = batch.num_columns - drop
             cols = [*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:n], "lang_pred", "score"])
