@@ -16,6 +16,8 @@ import numpy as np
 #: Distances of unit vectors come from cosines, whose rounding can reach this much near 0.
 SLACK = 1e-7
 LEAF = 24
+#: Possible centres whose distances are found by one product.
+CENTRES = 64
 
 
 class CoverTree:
@@ -42,11 +44,16 @@ class CoverTree:
                 while step >= nodes[me][3]:  # levels at which nothing splits are skipped
                     step /= 2
                 rest, parts = members, []
-                while len(rest):
-                    near = _dist(unit[rest], unit[rest[:1]])[:, 0] <= step
-                    near[0] = True
-                    parts.append(rest[near])
-                    rest = rest[~near]
+                while len(rest):  # the first member left is the next centre; distances come for many at once
+                    near = _dist(unit[rest], unit[rest[:CENTRES]]) <= step
+                    taken = np.zeros(len(rest), bool)
+                    for j in range(near.shape[1]):
+                        if not taken[j]:
+                            own = near[:, j] & ~taken
+                            own[j] = True
+                            parts.append(rest[own])
+                            taken |= own
+                    rest = rest[~taken]
                 for p in parts:
                     kids[me].append(grow(p, step))
             nodes[me][2] = len(order)

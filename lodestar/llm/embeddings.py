@@ -1,16 +1,16 @@
 """Near-duplicate vectors: exact threshold pairs by cover-tree dual traversal, within one label.
 
 Equal vectors of a label become one weighted vector first. A label of up to ``block`` vectors is one block. A larger
-one is split by its nearest pivot (one pivot for each ``block`` vectors, 64 at most) and then by shells of distance to
-the pivot, so that no task holds more than about a block however hot the label. A cover tree is built for each block
-and written once. Two blocks meet only if pivots and shells let them hold a near pair; each meeting walks the two
+one is split by its nearest pivot (one pivot for each ``block`` vectors, 64 at most), then by shells of distance to
+the pivot, and what still exceeds a block, as equally distant vectors do, by a hash, so that no task holds more than
+about a block however hot the label. A cover tree is built for each block and written once. Two blocks meet only if pivots and shells let them hold a near pair; each meeting walks the two
 trees. Numbers of links are summed, and a spanning forest of each meeting feeds connected components, so pairs inside a
 dense group are neither listed nor moved.
 
 Pivots are a bounded sample and only steer the split: every vector is compared exactly. Defined results: vectors that
 are null, empty, zero or hold null, NaN or infinite entries, and vectors without a label, link with nothing; vectors of different
-dimension never link; rows that repeat a vec_id are further vectors under the same id; a row with null vec_id comes back unlinked
-with null component and kept true. Other columns are ignored.
+dimension never link; rows that repeat a vec_id are vectors of their own, each with the links and the component of its
+vector; a row with null vec_id comes back unlinked with null component and kept true. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, stash
+from lodestar.llm.common import Scratch, components
 from lodestar.llm.covertree import CoverTree, dual_links
 
 _SHELLS = 64
@@ -69,6 +69,12 @@ def _meet(cosine: float):
 
 def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, block: int = 2048) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` -> ``(vec_id, n_links, component_id, kept)``, a row for each input row."""
+    with Scratch() as work:
+        return work.result(_near_duplicates(vectors, cosine, block, work))
+
+
+def _near_duplicates(vectors: DataFrame, cosine: float, block: int, work: Scratch) -> DataFrame:
+    stash = work.stash
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
@@ -76,22 +82,23 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, block: i
     v = v.withColumn("vector", F.when(good, F.transform("vector", lambda x: x + F.lit(0.0))))
     keyed = v.withColumn("grp", F.when(F.col("vector").isNotNull(), F.concat_ws("/", F.size("vector"), "label"))).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector"))
     usable = keyed.where("vector is not null")
-    reps = stash(usable.groupBy("grp", "h1", "h2").agg(F.min_by(F.struct("vec_id", "vector"), "vec_id").alias("m"), F.count("*").alias("w")).select("grp", "h1", "h2", F.col("m.vec_id").alias("rep"), "w", F.col("m.vector").alias("vector")), "vectors")
+    # a node is a distinct vector of a label under a number of its own: an id may stand for several
+    reps = stash(usable.groupBy("grp", "h1", "h2").agg(F.min_by(F.struct("vec_id", "vector"), "vec_id").alias("m"), F.count("*").alias("w")).select(F.monotonically_increasing_id().alias("rep"), "grp", "h1", "h2", F.col("m.vec_id").alias("least"), "w", F.col("m.vector").alias("vector")), "vectors")
 
     # split of groups that are larger than a block
     sizes = reps.groupBy("grp").agg(F.count("*").alias("n")).withColumn("k", F.least(F.lit(64), F.ceil(F.col("n") / block)).cast("int")).withColumn("salts", F.ceil(F.col("n") / (8 * block)).cast("int"))
-    from pyspark.sql import Window
-
-    pick = reps.join(sizes.where("k > 1"), "grp").withColumn("cell", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("h1", "rep"), "rep"))).where((F.col("cell") <= 64) & (F.col("cell") <= F.col("k")))
+    pick = reps.join(sizes.where("k > 1"), "grp").withColumn("cell", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("h1", "h2"), "rep"))).where((F.col("cell") <= 64) & (F.col("cell") <= F.col("k")))
     pivots = stash(pick.select("grp", F.col("cell").cast("long").alias("cell"), "vector", "salts"), "pivots")
     salted = reps.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
     spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("grp", "salt", "cell", "vector")
     placed = stash(salted.select("grp", "salt", "rep", "w", "vector").groupBy("grp", "salt").cogroup(spread.groupBy("grp", "salt")).applyInPandas(_place, "rep long, w long, grp string, vector array<double>, cell long, dist double"), "placed")
     cuts = placed.groupBy("grp", "cell").agg(F.count("*").alias("c"), F.percentile_approx("dist", [i / _SHELLS for i in range(1, _SHELLS)], 10_000).alias("q"))
     shells = F.least(F.lit(_SHELLS), F.ceil(F.col("c") / block)).cast("int")
-    cuts = cuts.select("grp", "cell", F.transform(F.sequence(F.lit(0), shells), lambda i: F.when((i > 0) & (i < shells), F.col("q")[F.floor(i * _SHELLS / shells).cast("int") - 1])).alias("edges"), F.ceil(F.col("c") / (_SHELLS * block)).cast("int").alias("more"))
+    cuts = cuts.select("grp", "cell", F.transform(F.sequence(F.lit(0), shells), lambda i: F.when((i > 0) & (i < shells), F.col("q")[F.floor(i * _SHELLS / shells).cast("int") - 1])).alias("edges"))
     shell = F.size(F.filter("edges", lambda e: e < F.col("dist")))
-    blocks = placed.join(cuts, ["grp", "cell"]).withColumn("block", F.concat_ws("/", "grp", "cell", shell, F.pmod(F.xxhash64("rep"), F.col("more"))))
+    shelled = placed.join(cuts, ["grp", "cell"]).withColumn("shell", shell)
+    parts = shelled.groupBy("grp", "cell", "shell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    blocks = shelled.join(parts, ["grp", "cell", "shell"]).withColumn("block", F.concat_ws("/", "grp", "cell", "shell", F.pmod(F.xxhash64("rep"), F.col("parts"))))
     trees = stash(blocks.select("block", "grp", "cell", "rep", "w", "vector", "dist").groupBy("block").applyInPandas(_tree, "block string, grp string, cell long, near double, far double, tree binary"), "trees")
 
     # which blocks can hold a near pair: by the distance of their pivots and by their shells
@@ -110,7 +117,10 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, block: i
     found = stash(two.mapInArrow(_meet(cosine), "node long, n long, other long"), "links")
 
     linked = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
-    comp = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    per_rep = reps.select("grp", "h1", "h2", "w", F.col("rep").alias("node")).join(linked, "node", "left").join(comp, "node", "left").select("grp", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = keyed.select("vec_id", "grp", "h1", "h2").join(per_rep, ["grp", "h1", "h2"], "left")
+    comp = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), work)
+    node = reps.select("grp", "h1", "h2", "w", "least", F.col("rep").alias("node"))
+    names = comp.join(node.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name"))
+    named = comp.join(stash(names, "names"), "component").select("node", "name")
+    per_node = node.join(linked, "node", "left").join(named, "node", "left").select("grp", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
+    out = keyed.select("vec_id", "grp", "h1", "h2").join(stash(per_node, "nodes"), ["grp", "h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -7,8 +7,8 @@ candidate counts only after the exact Jaccard similarity of its full shingle set
 
 Hot groups. Documents with equal shingle sets become one class before anything is paired. Inside a bucket all members
 are compared with its most typical member only; classes that this does not connect are compared across components in a
-second step behind exact filters, so that no link between components is lost and pairs inside a component are never
-listed.
+second step behind exact filters, so that no link between components is lost. There one side of a pair never belongs to
+the largest component of the bucket, so the pairs inside that component are never listed.
 
 Defined results: null, empty or all-blank text has 0 shingles and links with nothing; fewer words than a shingle make
 one shingle of all of them; rows that repeat a doc_id are one document; a row with null doc_id comes back with null
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, mix64, stash, texts_as_bytes, word_hashes
+from lodestar.llm.common import Scratch, components, mix64, texts_as_bytes, word_hashes
 
 _SIGMA = np.uint64(0x6A09E667F3BCC909)
 
@@ -125,16 +125,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _FITS = "least({0}, {1}) * 100 >= greatest({0}, {1}) * {2}"
 
 
-def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows(key..., c)`` with ``few``: whether c is another than the most frequent component of its key."""
+    counts = rows.groupBy(*key, "c").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*key).agg(F.max(F.struct("n", "c"))["c"].alias("most"))
+    return rows.join(most, [*key]).withColumn("few", F.col("c") != F.col("most")).drop("most")
+
+
+def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """Pairs of one bucket and two components that can still be similar; ``members(bucket, doc_id, n_shingles, a)``.
 
     Members are described by what they add to and lack of their bucket's centre a. Two that are similar either add a
     shingle in common, and then one of the rarest that each adds (the prefix filter: of the nA added shingles all but
     the overlap that similarity demands, plus one), or add nothing in common, and then their sizes alone bound how far
-    they differ. Both tests are exact, so no similar pair is missed.
+    they differ. Both tests are exact, so no similar pair is missed. Of two components at least one is not the largest
+    one around, so one side of either join leaves that out.
     """
+    stash = work.stash
     placed = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "a", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    mixed = stash(placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket"), "mixed")
     open_ = stash(placed.join(mixed, "bucket").where("doc_id <> a"), "open")
     pairs = open_.select("a", "doc_id", "c").distinct()
     full = pairs.join(sets.select(F.col("node").alias("doc_id"), F.col("shingles").alias("sx")), "doc_id").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -142,28 +151,34 @@ def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int)
     delta = stash(added.select("a", "doc_id", "c", "nx", "more", F.size("more").alias("na"), (F.col("nc") - F.col("nx") + F.size("more")).alias("nr")), "delta")
 
     rows = delta.select("a", "doc_id", "c", "nx", "na", F.explode("more").alias("e"))
-    often = rows.groupBy("a", "e").agg(F.count("*").alias("f"))
+    often = rows.groupBy("a", "e").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     need = F.greatest(F.lit(1), F.ceil(F.col("nx") * percent / 100) - (F.col("nx") - F.col("na")))
     order = Window.partitionBy("a", "doc_id").orderBy("f", "e")
-    prefix = rows.join(often, ["a", "e"]).withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("na") - need + 1) & (F.col("f") > 1)).select("a", "e", "doc_id", "c", "nx")
-    prefix = stash(prefix, "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    share = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))).where(_FITS.format("x.nx", "y.nx", percent))
-    share = share.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    ranked = rows.join(often, ["a", "e"]).withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("na") - need + 1) & (F.col("lo") < F.col("hi")))
+    prefix = stash(_rest(ranked.select("a", "e", "doc_id", "c", "nx"), "a", "e"), "prefix")
+    x, y = prefix.where("few").alias("x"), prefix.alias("y")
+    share = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c"))).where(_FITS.format("x.nx", "y.nx", percent))
+    share = share.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
     shape = ["bucket", "nx", "na", "nr"]
-    shaped = open_.join(delta.select("a", "doc_id", "nx", "na", "nr"), ["a", "doc_id"])
-    kinds = stash(shaped.groupBy(*shape).agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "shapes")
-    p, q = (kinds.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "lo", "hi"))) for i in (1, 2))
+    shaped = stash(_rest(open_, "bucket").join(delta.select("a", "doc_id", "nx", "na", "nr"), ["a", "doc_id"]).select(*shape, "doc_id", "c", "few"), "shaped")
+    kinds = lambda rows: rows.groupBy(*shape).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    p, q = (rows.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "lo", "hi"))) for i, rows in ((1, stash(kinds(shaped.where("few")), "shapes")), (2, stash(kinds(shaped), "shapes"))))
     apart = (F.col("na1") + F.col("na2") + F.abs(F.col("nr1") - F.col("nr2"))) * (100 + percent) <= (F.col("nx1") + F.col("nx2")) * (100 - percent)
-    near = p.join(q, "bucket").where(apart & ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("bucket", "nx1", "na1", "nr1", "nx2", "na2", "nr2")
-    u, v = (shaped.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "doc_id", "c"))) for i in (1, 2))
-    close = near.join(u, ["bucket", "nx1", "na1", "nr1"]).join(v, ["bucket", "nx2", "na2", "nr2"]).where("doc_id1 < doc_id2 and c1 <> c2").select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
+    near = stash(p.join(q, "bucket").where(apart & ~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("bucket", "nx1", "na1", "nr1", "nx2", "na2", "nr2"), "near")
+    u, v = (rows.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "doc_id", "c"))) for i, rows in ((1, shaped.where("few")), (2, shaped)))
+    close = near.join(u, ["bucket", "nx1", "na1", "nr1"]).join(v, ["bucket", "nx2", "na2", "nr2"]).where("c1 <> c2").select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
     return share.union(close).distinct()
 
 
 def minhash_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row for each input row."""
+    with Scratch() as work:
+        return work.result(_near_duplicates(docs, width, percent, bands, rows, work))
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows: int, work: Scratch) -> DataFrame:
+    stash = work.stash
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = stash(docs.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketch")
     some = sk.where("n_shingles > 0 and doc_id is not null")
@@ -181,12 +196,12 @@ def minhash_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     sets = stash(texts.mapInArrow(_set_maker(width), "node long, shingles array<long>"), "sets")
     stars = members.where("doc_id <> a").where(_FITS.format("n_shingles", "na", percent)).select("a", F.col("doc_id").alias("b")).distinct()
     links = stash(_confirmed(stars, sets, percent), "links")
-    comp = stash(components(links), "comp")
+    comp = components(links, work)
     # whatever a bucket still holds of several components is compared across them
-    more = stash(_across(members, comp, sets, percent), "across")
+    more = stash(_across(members, comp, sets, percent, work), "across")
     if not more.isEmpty():
         links = links.union(stash(_confirmed(more, sets, percent), "links"))
-        comp = stash(components(links), "comp")
+        comp = components(links, work)
     # members of a class follow its node; documents alone keep their own id
     twin = shared.join(comp, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("c1"))
     out = sk.select("doc_id", "n_shingles", "d1", "d2").join(stash(twin, "twins"), ["d1", "d2"], "left").join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("c2")), "doc_id", "left")

@@ -76,7 +76,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.scratch(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
-    return token_files.read_token_files(spark, path)
+    out = common.stash(token_files.read_token_files(spark, path), "read")
+    common.delete(spark, path)  # the files are the operator's output; the query only reports on them
+    return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
