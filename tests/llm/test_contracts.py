@@ -1,6 +1,8 @@
 """Each query's operator against a brute-force version of its contract, on awkward rows and on the smallest tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -292,6 +294,119 @@ def test_decontamination_is_brute_force(spark):
     assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == want and len(want) > 20
 
 
+def first_best(item, text, most):
+    """(distance, end) by an edit table whose first row is 0: the least distance, and where it is met first."""
+    col = np.arange(len(item) + 1)
+    best, it = None, np.array([ord(c) for c in item])
+    for at, c in enumerate(text, 1):
+        new = np.empty_like(col)
+        new[0] = 0
+        new[1:] = np.minimum(col[:-1] + (it != ord(c)), col[1:] + 1)
+        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        col = new
+        if col[-1] <= most and (best is None or col[-1] < best[0]):
+            best = (int(col[-1]), at)
+    return best
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.2])
+def test_decontamination_of_repeated_words(rate):
+    rnd = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "a", "be"]
+    met = 0
+    for _ in range(120):
+        items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 14)))) for i in range(6)]
+        matcher = decontaminate.Matcher(items, rate)
+        for _ in range(5):
+            t = []
+            for _ in range(rnd.randint(1, 3)):
+                x = list(rnd.choice(items)[1])
+                for _ in range(rnd.randint(0, 1 + int(2 * rate * len(x)))):
+                    at = rnd.randrange(len(x))
+                    x[at] = rnd.choice(["", "a", x[at] + rnd.choice("abeg "), " "])
+                t += [rnd.choice(words), " ", *x, " "]
+            text = decontaminate.normalise("".join(t))
+            want = [(i, *b) for i, x in items if (b := first_best(decontaminate.normalise(x), text, int(rate * len(x))))]
+            assert matcher.find(text) == sorted(want), (items, text)
+            met += len(want)
+    assert met > 500
+
+
+def test_decontamination_finds_what_starts_left_of_an_earlier_hit():
+    item = "gamma delta beta beta gamma delta gamma omega alpha omega delta beta"
+    text = "zz gamma dlta betabatac gamma delt gamma omega alpha omega delta bea yy"
+    assert decontaminate.Matcher([(1, item)], 0.1).find(text)[0][:2] == (1, 6)
+
+
+def test_decontamination_edges(spark, none):
+    long = "w x " * 100_000 + "the needle of the test stands here" + " y z" * 100_000
+    docs = spark.createDataFrame([(1, long), (2, "ab"), (3, None), (2, "the needle of the test stands here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "The needle of the  test stands here"), (2, "b"), (3, None)], "item_id long, text string")
+    meet = lambda **o: sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, **o).collect())
+    assert meet() == [(1, 1), (2, 1), (2, 2)] == meet(block_chars=1) and meet(least_chars=2) == [(1, 1), (2, 1)]
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 == decontaminate.contaminated(none, items).count()
+
+
+# --- ids that stand for several rows, ties and clashing names
+
+
+def test_repeated_vector_ids_keep_their_own_links(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (3, [1.0, 1e-4, 0.0], 1), (5, b, 1), (2, [1e-4, 1.0, 0.0], 1), (5, b, 1)]
+    out = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in out) == [(2, 2, 2, True), (3, 1, 3, True), (5, 1, 3, False), (5, 2, 2, False), (5, 2, 2, False)]
+
+
+def test_equally_distant_vectors(spark):
+    rnd = np.random.default_rng(2)
+    vectors = np.zeros((600, 40))
+    for v in vectors:
+        v[rnd.choice(40, 2, replace=False)] = 1.0
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.embedding_near_duplicates(df, block=50).collect()}
+    same = (vectors @ vectors.T) == 2
+    for i in range(len(rows)):
+        assert got[i].n_links == same[i].sum() - 1 and got[i].component_id == int(np.flatnonzero(same[i])[0])
+
+
+def test_repeated_document_ids_with_other_texts(spark):
+    word = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    a, p, tail, head = word("a", 60), word("p", 55), word("t", 20), word("h", 30)
+    rows = [(1, a), (5, a), (5, p + " " + tail), (9, head + " " + p), (5, a), (9, a + " " + head)]
+    got = sorted(tuple(r) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 60, 0, sha(a)), (5, 60, 60, sha("")), (5, 60, 60, sha("")), (5, 75, 0, sha(p + " " + tail)), (9, 85, 55, sha(head)), (9, 90, 60, sha(head))])
+
+
+def test_lines_with_clashing_names_and_long_lists(spark):
+    rows = [(i, "s" if i else None, f"top\nown {i}\n" + "long " * 20_000, 7, 8, 9, 10, "h") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, __bad int, __lines int, __kept int, `__DROPPED` int, __host string")
+    for most in (1_000_000, 0):
+        out = lines.drop_boilerplate(df, ratio=0.1, min_pages=2, send_lines=most).collect()
+        assert [(r["__bad"], r["__kept"], r["__host"], r["__lines"]) for r in out] == [(7, 9, "h", 3)] * 12
+        assert all(r.text == (f"own {r.doc_id}" if r.doc_id else rows[0][2]) and r["__dropped"] == (2 if r.doc_id else 0) for r in out)
+
+
+def test_hot_bucket_with_an_outsider_lists_no_pairs_inside_it(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    base = [rnd.choice(words) for _ in range(100)]
+    texts = []
+    for i in range(300):  # many near copies, each with changes of its own
+        t = list(base)
+        t[rnd.randrange(100)] = f"x{i}"
+        texts.append(" ".join(t))
+    for cut in (60, 70, 80, 85, 90):
+        texts.append(" ".join(base[:cut]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = roots(range(len(sets)), links)
+    got = minhash.minhash_near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(root.items() if isinstance(root, dict) else enumerate(root))
+
+
 # --- languages
 
 
@@ -306,12 +421,77 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(r.lang == r.lang_pred for r in test) >= 0.93 * len(test)
 
 
+def brute_language(train, texts, max_n=5):
+    """The model with plain dictionaries: train is (text, lang) rows."""
+    words_of = lambda t: ["".join(g) for letter, g in itertools.groupby((t or "").lower(), str.isalpha) if letter]
+    grams_of = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for t, lang in train if words_of(t)})
+    counts = {n: {} for n in range(max_n + 1)}
+    for t, lang in train:
+        for w in words_of(t):
+            for n in range(max_n + 1):
+                for x in grams_of(w, n) if n else [w]:
+                    counts[n].setdefault(x, dict.fromkeys(langs, 0))[lang] += 1
+    logs = {}
+    for n, c in counts.items():
+        c = {x: v for x, v in c.items() if sum(v.values()) >= 2}
+        add = 0.5 if n else 1.0
+        total = {x: sum(v[x] for v in c.values()) + add * len(c) for x in langs}
+        for x, v in c.items():
+            p = [math.log((v[y] + add) / total[y]) for y in langs]
+            logs[n, x] = [(y - sum(p) / len(p)) * (0.4 ** (max_n - n) if n else 1) for y in p]
+    out = []
+    for t in texts:
+        words, z = words_of(t), [0.0] * len(langs)
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        for w in words:
+            if (0, w) in logs:
+                e = logs[0, w]
+            else:
+                s = f" {w} "
+                hits = [next((logs[n, s[i : i + n]] for n in range(min(max_n, len(s) - i), 0, -1) if (n, s[i : i + n]) in logs), None) for i in range(len(s))]
+                hits = [h for h in hits if h]
+                e = [sum(h[k] for h in hits) / max(1, len(hits)) for k in range(len(langs))]
+            z = [a + b for a, b in zip(z, e, strict=True)]
+        z = [a * min(len(words), 20) / len(words) for a in z]
+        p = [math.exp(a - max(z)) for a in z]
+        out.append((langs[z.index(max(z))], max(p) / sum(p)))
+    return out
+
+
+def test_language_is_brute_force(spark, docs, sf):
+    from pyspark.sql import functions as F
+
+    mine = docs.where("lang is not null and text is not null").select("text", "lang", "doc_id").distinct().collect()
+    texts = [r.text for r in docs.collect()] + ["x\u00bd", "\u00bd \u00b2 \u2460 7_", "\u4e00\u4e8c", "word " * 70_000 + "ende", "a1b2\u00b2c", "\u0130stanbul STRASSE Stra\u00dfe"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = language.fit(docs)
+    want = brute_language([(r.text, r.lang) for r in mine], texts)
+    got = sorted(language.predict(df, model, "doc_id").collect())
+    assert sum(w[0] != "und" for w in want) > 40
+    for r, (lang, score) in zip(got, want, strict=True):
+        assert abs(r.score - score) < 1e-4 and (r.lang_pred == lang or abs(score - 0.5) < 1e-4), (texts[r.doc_id][:80], r, lang, score)
+    assert got[len(texts) - 5].lang_pred == "und"
+    # equal whatever the batches and the memo
+    model.memo = 5
+    assert [x[0] for x in model.predict(texts, chunk=7)] == [r.lang_pred for r in got]
+    # the sample is the rows of least hash, whole and each once
+    big = docs.union(docs)
+    picked = language.sample(big, 3).collect()
+    ranked = big.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text", "lang").alias("h")).distinct().collect()
+    want = sorted((x, t) for x in ("de", "en") for _, t in sorted((r.h, r.text) for r in ranked if r.lang == x)[:3])
+    assert sorted((r.lang, r.text) for r in picked) == want
+
+
 def test_language_edges(docs, none):
     model = language.fit(docs)
     out = language.predict(docs, model, "doc_id", "text").collect()
     for r in out:
         assert (r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text))
     assert {r.lang_pred for r in language.predict(docs, language.fit(none), "text").collect()} == {"und"}
+    assert language.predict(none, model, "doc_id").count() == 0
 
 
 # --- lines, licenses
