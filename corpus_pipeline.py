@@ -1,7 +1,13 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
-All but the last return the columns of documents. Rows whose doc_id repeats share the decisions about that id.
+All but the last return the columns of documents, and other columns of the input go with the first stage.
+
+Defined results, by stage. Language: null text and text without a letter go; null lang and source stay. Lines: null and
+empty texts stay as they are, a null source is one of its own; repeated rows are pages of their own. Near duplicates:
+null, empty and blank texts and rows with a null doc_id stay; of equal texts the least doc_id stays, and rows that repeat
+a doc_id share the decision about it. Decontamination: null and blank texts and rows with a null doc_id stay; rows that
+repeat a doc_id all go if one of them holds an item. Packing: every row is packed, null and empty text as the end id.
 """
 
 from __future__ import annotations
@@ -68,9 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if stage is not packing_stage:
-            docs = common.stash(docs, name)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        written = common.Stash(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = written.df, written
+    return STAGES[-1][1](spark, docs, sf_dir)
