@@ -1,15 +1,17 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Four kinds: email, ip, card, phone. Base spans are fixed by patterns and checks and always stay. Further candidates are
-addresses written with (at), card numbers that fail the Luhn check, and local phone numbers. On every candidate four
-labelers vote 1, -1 or 0: its form (pattern), its check (regex and arithmetic), gazetteers of top-level domains, card
-issuers and calling codes, and the words before it. Expectation-maximisation over the counts of vote patterns, a table
-of bounded size, estimates how reliable each labeler is for each kind, and a logistic classifier trained on the
-posteriors decides on the candidates that are not base spans.
+Five kinds: email, ip, card, phone and secret. Base spans, of the first four kinds, are fixed by patterns and checks and
+always stay. Further candidates are what the base patterns find but their checks reject, addresses written with (at),
+local phone numbers, and long unbroken strings such as keys and tokens. On every candidate five labelers vote 1, -1 or
+0: its form (pattern), its check (arithmetic and lengths), gazetteers of top-level domains, card issuers, calling codes
+and key formats, its look (how it is grouped), and the words before it. Expectation-maximisation over the counts of vote
+patterns, a table of bounded size, estimates how reliable each labeler is for each kind, and a logistic classifier
+trained on the posteriors alone decides on the candidates that are not base spans.
 
 Patterns are rewritten from the contract's so that no input makes them backtrack or recurse without bound; the matches
-are the same. Offsets are code points, ends exclusive. Defined results: null text is empty; rows that repeat a doc_id are
-scanned one by one; no candidates at all leave the classifier at its prior. Other columns are ignored.
+are the same. Offsets come from running sums in blocks, so that many matches in one text cost little more each. Offsets
+are code points, ends exclusive. Defined results: null text is empty; rows that repeat a doc_id are scanned one by one; no
+candidates at all leave the classifier at its prior. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import stash
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 
 #: Gazetteers.
 TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "us", "ch", "at", "be", "pl", "br", "ca", "au", "in", "jp", "cn", "ru", "biz", "example", "test")
@@ -30,12 +32,14 @@ CONTEXT = {
     "ip": r"(?:\bip\b|host|server|address|addr|login|client|network|from)",
     "card": r"(?:card|visa|master|amex|credit|debit|pay|karte|tarjeta|carte)",
     "phone": r"(?:phone|tel|call|mobile|fax|cell|whatsapp|telefon|llame)",
+    "secret": r"(?:token|secret|passw(?:or)?d|passwd|api.?key|apikey|access.?key|private.?key|bearer|authorization|credential|clave|schl[uü]ssel)",
 }
 AGAINST = {
     "email": r"(?:git|ssh|package|version)\W*$",
     "ip": r"(?:version|release|section|chapter|\bv)\W*$",
     "card": r"(?:isbn|order|invoice|serial|tracking|number of|ticket)\W*$",
     "phone": r"(?:isbn|order|invoice|serial|version|page|pages)\W*$",
+    "secret": r"(?:sha-?[0-9]*|md5|commit|checksum|digest|hash|etag|uuid|revision|integrity|fingerprint)\W*$",
 }
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -47,8 +51,12 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 MORE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
+    # neither the tail of an address with @ nor the head of one
+    "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++(?![{_LOCAL}]*+@)",
+    # what a base pattern would take is taken whole, and left out afterwards
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]|(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
+    # letters and digits, unbroken
+    "secret": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9.@])",
 }
 #: What a text must hold for a pattern to be tried.
 GATE = {
@@ -60,25 +68,42 @@ GATE = {
 GATE_MORE = {
     "email": lambda t: t.rlike(r"[\[(]at[\])]"),
     "phone": lambda t: t.rlike(r"[0-9][ .-][0-9]{3}"),
+    "secret": lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}"),
 }
-VOTES = ("form", "check", "list", "words")
+VOTES = ("form", "check", "list", "look", "words")
 _DIGITS = r"[^0-9]"
 
 
+_BLOCK = 256
+
+
+def _running(steps: Column) -> Column:
+    """The sum of all earlier numbers at each place of an array, by sums of blocks and sums within them."""
+
+    def sums(numbers: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("t"), F.array().cast("array<int>").alias("o"))
+        add = lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["o"], F.array(s["t"])).alias("o"))
+        return F.aggregate(numbers, zero, add, lambda s: s["o"])
+
+    last = F.floor((F.greatest(F.size(steps), F.lit(1)) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(steps, k * _BLOCK + 1, _BLOCK))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+    return F.flatten(F.zip_with(blocks, sums(totals, F.lit(0)), sums))
+
+
 def _located(df: DataFrame, name: str, pattern: str, gate: Column) -> DataFrame:
     """Adds ``name``: array of (m, start, end, before), the matches of a pattern with code-point offsets."""
     empty = F.array().cast("array<string>")
     df = df.withColumn("__m", F.when(gate, F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(empty))
-    df = df.withColumn("__s", F.when(F.size("__m") > 0, F.split("__t", pattern, -1)).otherwise(empty))
-    df = df.withColumn("__a", F.transform("__s", F.length)).withColumn("__b", F.transform("__m", F.length))
+    df = df.withColumn("__s", F.when(F.size("__m") > 0, F.slice(F.split("__t", pattern, -1), 1, F.size("__m"))).otherwise(empty))
+    df = df.withColumn("__n", F.zip_with("__s", "__m", lambda s, m: F.length(s) + F.length(m))).withColumn("__p", _running(F.col("__n")))
+    pairs = F.zip_with("__s", "__m", lambda s, m: F.struct(s.alias("s"), m.alias("m")))
 
-    def place(m: Column, i: Column) -> Column:
-        total = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-        start = total(F.col("__a"), i + 1) + total(F.col("__b"), i)
-        before = F.lower(F.substring(F.element_at("__s", i + 1), -30, 30))
-        return F.struct(m.alias("m"), start.alias("start"), (start + F.length(m)).alias("end"), before.alias("before"))
+    def place(x: Column, before: Column) -> Column:
+        start = before + F.length(x["s"])
+        return F.struct(x["m"].alias("m"), start.alias("start"), (start + F.length(x["m"])).alias("end"), F.lower(F.substring(x["s"], -30, 30)).alias("before"))
 
-    return df.withColumn(name, F.transform("__m", place)).drop("__m", "__s", "__a", "__b")
+    return df.withColumn(name, F.zip_with(pairs, "__p", place)).drop("__m", "__s", "__n", "__p")
 
 
 def _digits(m: Column) -> Column:
@@ -97,18 +122,26 @@ def valid(kind: str, m: Column) -> Column:
 
 def _votes(kind: str, m: Column, before: Column, form: bool) -> dict[str, Column]:
     yes = lambda c: F.when(c, 1).otherwise(-1)
-    d = _digits(m)
+    d, look = _digits(m), F.lit(0)
     if kind == "email":
         check, known = yes(F.length(m) <= 254), yes(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*TLDS))
+        look = yes(m.rlike(r"^[A-Za-z0-9]") & ~m.rlike(r"\.\."))
     elif kind == "ip":
         check, known = yes(~m.rlike(r"(?:^|\.)0[0-9]")), F.when(m.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), 1).otherwise(0)
+        look = F.when(m.rlike(r"[0-9]{4}"), -1).otherwise(0)
     elif kind == "card":
         check, known = yes(F.call_function("luhn_check", d)), yes(d.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"))
-    else:
+        look = yes(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$") & ~m.rlike(r"^([0-9])\1+$"))
+    elif kind == "phone":
         n = F.length(d)
-        check, known = yes((n >= 9) & (n <= 15)), F.when(m.rlike(r"^\+(?:1|33|34|44|49|39|31|41|43|7|81|86|91)"), 1).otherwise(0)
+        check, known = yes((n >= 9) & (n <= 15)), F.when(m.rlike(r"^(?:\+(?:1|33|34|44|49|39|31|41|43|7|81|86|91)|\(?0[1-9])"), 1).otherwise(0)
+        look = F.when(m.rlike(r"^\("), 1).when(m.rlike(r"\.") & m.rlike(r"[ -]"), -1).otherwise(0)
+    else:
+        letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
+        check, known = yes((F.length(d) >= 4) & (letters >= 4)), F.when(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|pk_|eyJ|glpat-|AIza)"), 1).otherwise(0)
+        look = F.when(m.rlike("/.*/") | m.rlike("-.*-.*-.*-") | m.rlike(r"^(.)\1+$"), -1).when(before.rlike(r"[=:]\s*[\"']?$"), 1).otherwise(0)
     words = F.when(before.rlike(AGAINST[kind]), -1).when(before.rlike(CONTEXT[kind]), 1).otherwise(0)
-    return {"form": F.lit(1 if form else 0), "check": check, "list": known, "words": words}
+    return {"form": F.lit(1 if form else 0), "check": check, "list": known, "look": look, "words": words}
 
 
 def _candidate(kind: str, form: bool):
@@ -121,32 +154,28 @@ def _candidate(kind: str, form: bool):
     return make
 
 
-def _clear_of(taken: str):
-    return lambda x: ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-
-
 def candidates(docs: DataFrame) -> DataFrame:
     """``(doc_id, c)``: of each document, the candidates of all kinds as one array."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     t, parts = F.col("__t"), []
-    for kind in KINDS:
+    for kind in BASE:
         df = _located(df, f"__{kind}", BASE[kind], GATE[kind](t))
         parts.append(F.transform(f"__{kind}", _candidate(kind, True)))
     for kind in MORE:
         df = _located(df, f"__more_{kind}", MORE[kind], GATE_MORE[kind](t))
-        parts.append(F.transform(F.filter(f"__more_{kind}", _clear_of(f"__{kind}")), _candidate(kind, False)))
+        parts.append(F.transform(F.filter(f"__more_{kind}", lambda x: ~x["m"].startswith("+")), _candidate(kind, False)))
     return df.select("doc_id", F.concat(*parts).alias("c"))
 
 
 def estimate(rows: list, rounds: int = 60) -> tuple[dict, dict]:
     """Labeler reliabilities and classifier weights from the counts of vote patterns.
 
-    ``rows``: (kind, form, check, list, words, size, n). Expectation-maximisation of a two-class model with independent
+    ``rows``: (kind, a vote for each of VOTES, size, n). Expectation-maximisation of a two-class model with independent
     labelers, then logistic regression on the posteriors by gradient steps. All sums run over the patterns.
     """
     reliable, weights = {}, {}
     for k, kind in enumerate(KINDS):
-        own = sorted((tuple(r[1:5]), r[5], r[6]) for r in rows if r[0] == k)
+        own = sorted((tuple(r[1:-2]), r[-2], r[-1]) for r in rows if r[0] == k)
         total = sum(n for _, _, n in own)
         rates = {c: [{v: 1 / 3 + (0.3 if v * c > 0 else -0.2 if v * c < 0 else -0.1) for v in (-1, 0, 1)} for _ in VOTES] for c in (1, -1)}
         prior = 0.5
@@ -188,8 +217,7 @@ def _accepts(weights: dict, threshold: float):
             z = F.lit(w[-1]) + F.lit(w[-2] / 3.0) * c["size"]
             for a, name in zip(w, VOTES, strict=False):
                 z = z + F.lit(a) * c[name]
-            # a candidate that no labeler of content speaks for is never added
-            ok = ok | ((c["kind"] == k) & (z >= F.lit(odds)) & ((c["words"] > 0) | ((c["check"] > 0) & (c["list"] > 0))))
+            ok = ok | ((c["kind"] == k) & (z >= F.lit(odds)))
         return ok
 
     return test
@@ -199,7 +227,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, base, spans)``: arrays of (kind, start, end), kind an index of KINDS."""
     found = stash(candidates(docs), "pii")
     counts = found.select(F.explode("c").alias("c")).groupBy("c.kind", *(f"c.{v}" for v in VOTES), "c.size").agg(F.count("*").alias("n"))
-    rows = [tuple(r) for r in counts.collect()]  # at most kinds x 3^4 votes x 4 sizes
+    rows = [tuple(r) for r in counts.collect()]  # at most kinds x 3^5 votes x 4 sizes
     _, weights = estimate(rows)
     accept = _accepts(weights, threshold)
     bare = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
@@ -215,7 +243,12 @@ def span_text(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``; the counts are of base spans."""
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans)``.
+
+    The first four counts and the hash are of base spans; ``n_spans`` counts all spans.
+    """
     out = find_pii(docs)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", *(n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    secret = F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("secret"))).cast("long")
+    counts = (n(KINDS.index(kind)).alias(f"n_{kind}") for kind in BASE)
+    return out.select("doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), secret.alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))

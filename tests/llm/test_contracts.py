@@ -566,18 +566,59 @@ def test_pii(spark, sf):
         s = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         r = got[i]
         assert r.base_sha256 == hashlib.sha256(s.encode()).hexdigest(), (t, s, r.spans)
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.KINDS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.BASE]
         spans = r.spans.split(",") if r.spans else []
         assert set(s.split(",") if s else []) <= set(spans) and len(set(spans)) == len(spans)
         assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
 
 
 def test_pii_estimates_which_labelers_to_trust():
-    rows = [(3, 1, 1, 0, 1, 1, 900), (3, 1, -1, 0, -1, 1, 800), (3, 0, 1, 0, 1, 1, 50), (3, 0, -1, 1, 0, 1, 60)]
+    rows = [(3, 1, 1, 0, 0, 1, 1, 900), (3, 1, -1, 0, 0, -1, 1, 800), (3, 0, 1, 0, 0, 1, 1, 50), (3, 0, -1, 1, 0, 0, 1, 60)]
     reliable, weights = pii.estimate(rows)
     assert reliable["phone"]["words"] > 0.7 and weights["phone"][VOTE_WORDS] > 0
 
 
+def test_pii_added_spans_against_planted_ones(spark):
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    prose = lambda: " ".join(rnd.choice("der die and the of to casa le Donaudampfschifffahrtsgesellschaft 7 und river 1999 en".split()) for _ in range(rnd.randint(3, 20)))
+    plant = {
+        "secret": lambda: ("token = \"", hexes(40), "\""),
+        "secret ": lambda: ("api_key: ", "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(12)) + digits(4), ""),
+        "secret  ": lambda: ("Authorization: Bearer ", "eyJ" + "".join(rnd.choice("abcdXYZ0123456789_") for _ in range(40)), ""),
+        "email": lambda: ("contact ", f"jo.{digits(2)} (at) host{digits(1)}.com", ""),
+        "phone": lambda: ("call ", f"(0{rnd.randint(10, 99)}) {rnd.randint(100, 999)} {rnd.randint(1000, 9999)}", ""),
+    }
+    other = [lambda: f"commit {hexes(40)}", lambda: f"sha256 {hexes(64)}", lambda: f"ISBN 978 {digits(4)} {digits(3)}", lambda: f"pages {digits(3)}-{digits(3)}", lambda: f"version {digits(2)}.{digits(3)}.{digits(3)}",
+             lambda: "path/to/some/long/file/name/of/the/tree", lambda: f"order {digits(3)} {digits(4)} {digits(4)}", lambda: "x" * 40, lambda: f"mail a{digits(2)}@b.org", lambda: f"+49 30 {digits(8)}", lambda: "4111 1111 1111 1111"]
+    docs, want = [], set()
+    for i in range(1200):
+        text = prose() + " "
+        if i % 3 == 0:
+            kind, make = rnd.choice(list(plant.items()))
+            before, what, after = make()
+            want.add((i, f"{kind.strip()}:{len(text) + len(before)}:{len(text) + len(before) + len(what)}"))
+            text += before + what + after
+        elif i % 3 == 1:
+            text += rnd.choice(other)()
+        docs.append((i, text + " " + prose()))
+    got = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"))
+    added = {(r.doc_id, x) for r in got.select("doc_id", pii.span_text(pii.F.array_except("spans", "base")).alias("s")).collect() for x in r.s.split(",") if x}
+    assert len(added & want) >= 0.9 * len(want) and len(added & want) >= 0.9 * len(added), (sorted(want - added)[:9], [(x, docs[x[0]][1]) for x in sorted(added - want)][:9])
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    texts = ["+49 30 123456 x " * 32_000, "a@b.c " * 20_000 + "jo (at) ex.com " * 5_000, "(030) 123 4567, " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    assert out[0].n_phone == 32_000 and out[1].n_email == 20_000 and time.monotonic() - began < 60
+    assert out[0].base_sha256 == hashlib.sha256(",".join(f"phone:{16 * i}:{16 * i + 13}" for i in range(32_000)).encode()).hexdigest()
+
+
 VOTE_WORDS = pii.VOTES.index("words")
 
 
