@@ -534,6 +534,58 @@ def test_licenses(spark):
     assert 0.8 <= by[3][0].coverage < 1 and by[2][0].start == 2
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        hit = np.array([x == y for y in b])
+        new = np.maximum(row[1:], np.where(hit, row[:-1] + 1, 0))
+        row[1:] = np.maximum.accumulate(new)
+    return int(row[-1])
+
+
+def test_planted_licenses_are_recalled():
+    rnd = random.Random(9)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, 0.1)
+    noise = [f"word{i}" for i in range(50)] + ["the", "of", "license", "and", "software"]
+    planted = found = 0
+    for _ in range(400):
+        k = rnd.randrange(len(licenses.TEMPLATES))
+        words = re.findall("[A-Za-z0-9]+", licenses.TEMPLATES[k][1])
+        changed = list(words)
+        for _ in range(rnd.randint(0, len(words) // 12)):
+            at = rnd.randrange(len(changed))
+            changed[at : at + 1] = rnd.choice(([], ["other"], [changed[at], "more"]))
+        before, after = ([rnd.choice(noise) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        text = " ".join([*before, *changed, *after])
+        got = scanner.scan(text.encode())
+        planted += 1
+        # this template, or one that covers its place with as many words
+        n = common_words([w.lower() for w in words], [w.lower() for w in changed])
+        mine = [r for r in got if r[4] <= len(" ".join(before)) + 25 and r[3] >= min(n, 0.8 * len(words))]
+        found += bool(mine)
+        for name, j, coverage, n, a, b in got:  # what is reported is true
+            have = [w.lower() for w in re.findall("[A-Za-z0-9]+", text[a:b])]
+            want = [w.lower() for w in re.findall("[A-Za-z0-9]+", licenses.TEMPLATES[j][1])]
+            assert n <= common_words(want, have) and n >= 0.8 * len(want) and abs(coverage - n / len(want)) < 1e-9 and name == licenses.TEMPLATES[j][0]
+    assert found >= 0.95 * planted
+    assert not any(scanner.scan(" ".join(rnd.choice(noise) for _ in range(300)).encode()) for _ in range(50))
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    text = ("Released under the MIT License. x y. " * 8_000 + licenses.TEMPLATES[4][1]).encode()
+    began = time.monotonic()
+    assert len(licenses.Scanner(licenses.TEMPLATES, 0.8, 0.1).scan(text)) == 8_001 and time.monotonic() - began < 20
+
+
+def test_whole_texts_from_a_folder(tmp_path):
+    (tmp_path / "Mine").write_text("a license of my own " + " ".join(f"clause{i}" for i in range(200)))
+    scanner = licenses.Scanner(licenses.read_templates(str(tmp_path)), 0.8, 0.1)
+    assert [r[:2] for r in scanner.scan(b"x " + (tmp_path / "Mine").read_bytes().replace(b"clause50 ", b""))] == [("Mine", 0)]
+
+
 # --- personal data
 
 
