@@ -1,9 +1,10 @@
 """Packing of token sequences by best-two-fit.
 
 Documents are encoded, an end id is added, and only documents longer than a sequence are cut, all but their first piece
-to full length. Full pieces are sequences of their own. The other pieces, one a document at most, are dealt by a hash
-of the document into groups of about ``group_docs``; each group is packed alone, so that memory is bounded and the
-sequences wasted are below one a group. A bin is filled greedily with the longest piece that fits; then, as long as it
+to full length. Full pieces are sequences of their own, with negative numbers. The other pieces, one a document at most,
+are dealt by a hash of the row into groups of about ``group_docs``; each group is packed alone, so that memory is bounded
+and the sequences wasted are below one a group. Pieces are written with their group, so that a task that is run again
+finds the same ones. A bin is filled greedily with the longest piece that fits; then, as long as it
 helps, its smallest piece gives way to the two unpacked pieces that fill the widened gap best.
 
 Defined results: null and empty text are the end id alone; rows that repeat a doc_id are packed one by one; a null
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import texts_as_bytes
+from lodestar.llm.common import Scratch, texts_as_bytes
 from lodestar.llm.tokens import encoder
 
 
@@ -111,15 +112,14 @@ def pack_sequences(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
     groups = max(1, round(docs.count() / group_docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    pieces = keyed.mapInArrow(_pieces(vocabulary, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, group long")
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-    # a group's rows: its short pieces, and its full ones, which only get a number
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        full = (pdf["length"] == size).to_numpy()
-        seq, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        short = np.flatnonzero(~full)
-        seq[short], offset[short], bins = best_two_fit(pdf["length"].to_numpy()[short].tolist(), size)
-        seq[full] = bins + np.arange(int(full.sum()))
+        seq, offset, _ = best_two_fit(pdf["length"].tolist(), size)
         return pdf.drop(columns="group").assign(sequence_id=seq + (int(key[0]) << 40), offset=offset)
 
-    return pieces.groupBy("group").applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    with Scratch() as work:
+        pieces = work.stash(keyed.mapInArrow(_pieces(vocabulary, size, end_id), f"{columns}, group long"), "pieces")
+        short = pieces.where(F.col("length") < size).groupBy("group").applyInPandas(pack, f"{columns}, sequence_id long, offset long")
+        full = pieces.where(F.col("length") == size).drop("group").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+        return work.result(short.union(full))
