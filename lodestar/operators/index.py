@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import analyzed
+from lodestar.functions.text import analyzed, stems
 
 BLOCK = 128
 
@@ -72,7 +72,11 @@ class Index:
 
 
 def term_frequencies(docs: DataFrame, key: str, stop_words: bool = True, stem: bool = True) -> DataFrame:
-    return analyzed(docs, key, stop_words=stop_words, stem=stem).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``(key, term, tf)``. Words are counted before they are stemmed, so a common word moves once a document."""
+    raw = analyzed(docs, key, stop_words=stop_words, stem=False).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    if not stem:
+        return raw
+    return raw.join(stems(raw), "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def doc_lengths(docs: DataFrame, key: str, tf: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed
-from lodestar.operators.index import sequential_ids
+from lodestar.operators.index import sequential_ids, term_frequencies
 
 
 def partition(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -20,19 +20,33 @@ def partition(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return sequential_ids(docs, key, "__pos").withColumn("shard", shard.cast("int")).drop("__pos")
 
 
-def grouped_postings(docs: DataFrame, group: str, k1: float = 0.9, b: float = 0.4, stem: bool = True, stop_words: bool = True) -> DataFrame:
-    """``(group, term, doc_id, impact)`` with statistics of each group by itself. ``docs(group, doc_id, text)``."""
-    d = docs.select(group, "doc_id", "text").withColumn("__key", F.struct(group, "doc_id"))
-    tf = analyzed(d, "__key", stem=stem, stop_words=stop_words).groupBy("__key", "term").agg(F.count("*").alias("tf")).select(F.col(f"__key.{group}").alias(group), F.col("__key.doc_id").alias("doc_id"), "term", "tf")
-    dl = tf.groupBy(group, "doc_id").agg(F.sum("tf").alias("dl"))
-    sizes = docs.groupBy(group).agg(F.count("*").alias("n")).join(dl.groupBy(group).agg(F.sum("dl").alias("total")), group)
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
-    x = tf.join(df, [group, "term"]).join(dl, [group, "doc_id"]).join(sizes, group)
+def grouped_frequencies(docs: DataFrame, group: str, stem: bool = True, stop_words: bool = True) -> DataFrame:
+    """``(group, doc_id, term, tf, dl)`` of ``docs(group, doc_id, text)``."""
+    d = docs.select(F.struct(group, "doc_id").alias("__key"), "text")
+    tf = term_frequencies(d, "__key", stop_words, stem)
+    dl = tf.groupBy("__key").agg(F.sum("tf").alias("dl"))
+    return tf.join(dl, "__key").select(F.col(f"__key.{group}").alias(group), F.col("__key.doc_id").alias("doc_id"), "term", "tf", "dl")
+
+
+def impacts(frequencies: DataFrame, sizes: DataFrame, group: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """``(group, term, doc_id, impact)`` by the statistics of each group; ``sizes(group, n, total)``: documents, words.
+
+    ``frequencies`` may be cut to some terms, of which it then holds every row.
+    """
+    df = frequencies.groupBy(group, "term").agg(F.count("*").alias("df"))
+    x = frequencies.join(df, [group, "term"]).join(sizes, group)
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = weight * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("total") / F.col("n"))))
     return x.select(group, "term", "doc_id", score.alias("impact"))
 
 
+def grouped_postings(docs: DataFrame, group: str, k1: float = 0.9, b: float = 0.4, stem: bool = True, stop_words: bool = True) -> DataFrame:
+    """``(group, term, doc_id, impact)`` with statistics of each group by itself. ``docs(group, doc_id, text)``."""
+    tf = grouped_frequencies(docs, group, stem, stop_words)
+    sizes = docs.groupBy(group).agg(F.count("*").alias("n")).join(tf.groupBy(group).agg(F.sum("tf").alias("total")), group)
+    return impacts(tf, sizes, group, k1, b)
+
+
 def scatter_gather(queries: DataFrame, postings: DataFrame, group: str, k: int, deleted: DataFrame | None = None, extra: int = 0, stem: bool = True) -> DataFrame:
     """Top k of each group, then of all: by score alone, ties in group order and then in the group's own order.
 

@@ -218,6 +218,41 @@ def test_segments_stream(spark, tmp_path):
     assert picks([50, 10, 30, 5], 2, 3) == [5, 10] and picks([10, 20, 30], 2, 3) == [] and picks([3, 1, 2], 10, 1) == [1, 2, 3]
 
 
+def test_two_streams_into_one_store_lose_nothing(spark, tmp_path):
+    now = [0.0]
+    store = nrt.SegmentStore(spark, str(tmp_path / "store"), flush_threshold=3, merge_factor=2, max_segments=2, flush_interval=10.0, clock=lambda: now[0])
+    rows_ = lambda *ids: spark.createDataFrame([(i, f"quokka {i}") for i in ids], "doc_id string, text string")
+    assert store.flush(rows_("a"), 0, "one") == 1 and store.flush(rows_("b"), 0, "two") == 1
+    assert store.flush(rows_("a"), 0, "one") == 0 == store.flush(rows_("b"), 0, "two")  # delivered again
+    for i, folder in enumerate(("x", "y")):
+        rows_(f"s{i}").write.json(str(tmp_path / folder))
+        stream = spark.readStream.schema("doc_id string, text string").json(str(tmp_path / folder))
+        store.attach(stream, str(tmp_path / f"cp{i}"), background=True).awaitTermination(120)
+    assert store.add(("c", "quokka c")) == 0 and store.add(("d", "quokka d"), ("e", "quokka e"), ("f", "quokka f")) == 1
+    now[0] = 9.0
+    assert store.tick() == 0
+    now[0] = 11.0
+    assert store.tick() == 1 and store.tick() == 0  # f has waited long enough
+    if thread := store.compact_in_background():
+        thread.join(60)
+    q = spark.createDataFrame([(1, "quokka"), (2, "the")], "qid long, text string")
+    held, gone, n = store.snapshot()
+    open_ = store.search(q, 50)
+    store.flush(rows_("g", "h"))
+    store.flush(spark.createDataFrame([("empty", ""), ("null", None)], "doc_id string, text string"))
+    store.compact()
+    assert len(store.manifest()["segments"]) <= 2 and store.vacuum(100.0) == 0
+    # an open snapshot still has its files
+    assert {r.doc_id for r in open_.collect()} == set("abcdef") | {"s0", "s1"} and held.count() == 8
+    assert {r.doc_id for r in store.search(q, 50).collect()} == set("abcdefgh") | {"s0", "s1"}
+    now[0] = 200.0
+    assert store.vacuum(100.0) > 0 and store.manifest()["garbage"] == []
+    assert sum(s["docs"] for s in store.manifest()["segments"]) == 12 and store.search(q, 50).count() == 10
+    # the same rows as a search that analyses every text again
+    docs, gone, n = store.snapshot()
+    assert rows(store.search(q, 5), "doc_id", "score") == rows(nrt.segment_search(q, docs, 5, gone, n), "doc_id", "score")
+
+
 def test_batches(spark):
     e = spark.createDataFrame([(0, i, t) for i, t in enumerate([0.0, 1.0, 2.0, 50.0, 200.0])], "run long, id long, t double")
     assert [r[1] for r in rows(nrt.batches(e, 2, 100.0), "id", "batch")] == [0, 0, 1, 1, 2]
