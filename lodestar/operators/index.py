@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed, stems
+from lodestar.sources.written import written
 
 BLOCK = 128
+#: Documents of a cell, whose best impact of each term is stored, and of a stretch within which postings are numbered.
+CELL, STRETCH = 64, 1 << 16
 
 
 def idf(n: float, df: Column) -> Column:
@@ -24,10 +26,10 @@ def term_score(weight: Column, tf: Column, dl: Column, avg_dl: float, k1: float
 def sequential_ids(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds 0-based positions in ``order`` by range partitions and their sizes; no task sees more than a partition.
 
-    The numbered rows are kept, since both the sizes and the positions must come from one and the same partitioning.
+    The numbered rows are written, since both the sizes and the positions must come from one and the same partitioning.
     """
     parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
-    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = written(parts, "numbered")
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     # one row a partition: the running total stays small whatever the data
     base = sizes.withColumn("__base", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
@@ -36,11 +38,15 @@ def sequential_ids(df: DataFrame, order: str, out: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """docs(docid, external_id, doc_len), terms(term, df, num_blocks, max_impact), postings(term, docid, tf, dl, impact, block), n, avg_dl."""
+    """docs(docid, external_id, doc_len), terms(term, df, num_blocks, max_impact), n, avg_dl, and of each term
+
+    postings(term, docid, tf, dl, impact, block) and cells(term, cell, count, best), a cell being ``CELL`` docids.
+    """
 
     docs: DataFrame
     terms: DataFrame
     postings: DataFrame
+    cells: DataFrame
     n: int
     avg_dl: float
     k1: float = 0.9
@@ -60,6 +66,7 @@ class Index:
     def save(self, path: str) -> None:
         """Postings are dealt and sorted by term, so that a lookup reads the row groups of its terms only."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "docid").write.parquet(f"{path}/postings")
+        self.cells.repartitionByRange("term").sortWithinPartitions("term", "cell").write.parquet(f"{path}/cells")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         self.docs.write.parquet(f"{path}/docs")
         meta = self.docs.sparkSession.createDataFrame([(self.n, self.avg_dl, self.k1, self.b, *self.options)], "n long, avg_dl double, k1 double, b double, stop_words boolean, stem boolean")
@@ -68,7 +75,7 @@ class Index:
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         m = spark.read.parquet(f"{path}/meta").first()
-        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"), m.n, m.avg_dl, m.k1, m.b, (m.stop_words, m.stem))
+        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/cells"), m.n, m.avg_dl, m.k1, m.b, (m.stop_words, m.stem))
 
 
 def term_frequencies(docs: DataFrame, key: str, stop_words: bool = True, stem: bool = True) -> DataFrame:
@@ -86,22 +93,32 @@ def doc_lengths(docs: DataFrame, key: str, tf: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, k1: float = 0.9, b: float = 0.4, stop_words: bool = True, stem: bool = True, key: str = "doc_id") -> Index:
-    """An index of ``docs(doc_id, text)``; docids are positions in doc_id order. Raises ValueError on an empty corpus."""
-    ids = sequential_ids(docs.select(key, "text"), key, "docid").select("docid", F.col(key).cast("string").alias("external_id"), "text").cache()
-    tf = term_frequencies(ids, "docid", stop_words, stem).cache()
-    lengths = doc_lengths(ids, "docid", tf)
-    one = lengths.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")).first()
+    """An index of ``docs(doc_id, text)``, written as tables in the shared folder, postings in order of terms and docids.
+
+    Docids are positions in doc_id order. Raises ValueError on an empty corpus.
+    """
+    ids = sequential_ids(docs.select(key, "text"), key, "docid").select("docid", F.col(key).cast("string").alias("external_id"), "text")
+    tf = written(term_frequencies(ids, "docid", stop_words, stem), "frequencies")
+    full = written(doc_lengths(ids.select("docid", "external_id"), "docid", tf).join(ids.select("docid", "external_id"), "docid").select("docid", "external_id", "doc_len"), "docs")
+    one = full.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")).first()
     if not one.n:
         raise ValueError("no documents to index")
     avg = float(one.total) / one.n
-    full = ids.select("docid", "external_id").join(lengths, "docid")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("term").orderBy("docid")
-    scored = tf.join(df, "term").join(lengths.withColumnRenamed("doc_len", "dl"), "docid")
-    avg_or_1 = avg or 1.0
-    postings = scored.select("term", "docid", "tf", "dl", term_score(idf(one.n, F.col("df")), F.col("tf"), F.col("dl"), avg_or_1, k1, b).alias("impact"), F.floor((F.row_number().over(w) - 1) / BLOCK).cast("long").alias("block"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), (F.max("block") + 1).alias("num_blocks"), F.max("impact").alias("max_impact"))
-    return Index(full, terms, postings, one.n, avg, k1, b, (stop_words, stem))
+    scored = tf.join(df, "term").join(full.select("docid", F.col("doc_len").alias("dl")), "docid")
+    impact = term_score(idf(one.n, F.col("df")), F.col("tf"), F.col("dl"), avg or 1.0, k1, b)
+    # a term's postings are numbered within stretches of docids, to which the stretches before are added
+    stretch = F.floor(F.col("docid") / STRETCH)
+    placed = scored.withColumn("stretch", stretch).withColumn("at", F.row_number().over(Window.partitionBy("term", "stretch").orderBy("docid")) - 1)
+    before = F.sum("held").over(Window.partitionBy("term").orderBy("stretch")) - F.col("held")
+    offsets = tf.groupBy("term", stretch.alias("stretch")).agg(F.count("*").alias("held")).withColumn("before", before).where("before > 0").select("term", "stretch", "before")
+    if one.n > STRETCH:
+        placed = placed.join(offsets, ["term", "stretch"], "left").withColumn("at", F.col("at") + F.coalesce("before", F.lit(0)))
+    postings = placed.select("term", "docid", "tf", "dl", impact.alias("impact"), F.floor(F.col("at") / BLOCK).cast("long").alias("block"))
+    postings = written(postings.repartitionByRange("term", "docid").sortWithinPartitions("term", "docid"), "postings")
+    cells = written(postings.groupBy("term", F.floor(F.col("docid") / CELL).alias("cell")).agg(F.count("*").alias("count"), F.max("impact").alias("best")), "cells")
+    terms = written(postings.groupBy("term").agg(F.count("*").alias("df"), (F.max("block") + 1).alias("num_blocks"), F.max("impact").alias("max_impact")), "terms")
+    return Index(full, terms, postings, cells, one.n, avg, k1, b, (stop_words, stem))
 
 
 def blocks(postings: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed
-from lodestar.operators.index import Index
+from lodestar.operators.index import CELL, Index
+from lodestar.sources.written import written
 
-SEED_POSTINGS = 200
-RANGE = 128
+#: Cells of highest bound whose documents give the first threshold.
+SEED_CELLS = 4
 EDGE = 1e-5
 
 
@@ -39,40 +40,63 @@ def daat(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return top_k(hits.groupBy("qid", "docid").agg(_total()), k, "docid")
 
 
-def _threshold(terms: DataFrame, index: Index, k: int) -> DataFrame:
-    """``(qid, theta)``: the k-th full score among documents that hold one of the query's rarest terms; 0 below k documents."""
-    w = Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rare = terms.withColumn("before", F.coalesce(F.sum("df").over(w), F.lit(0))).where(F.col("before") < SEED_POSTINGS).select("qid", "term")
-    seeds = rare.join(index.postings.select("term", "docid"), "term").select("qid", "docid").distinct()
-    full = terms.select("qid", "term").join(index.postings.select("term", "docid", "impact"), "term").join(seeds, ["qid", "docid"], "left_semi")
-    kth = top_k(full.groupBy("qid", "docid").agg(_total()), k, "docid").where(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
+def _bounds(terms: DataFrame, index: Index) -> DataFrame:
+    """``(qid, cell, bound, held)``: the most that a document of a cell can score, and the postings it holds."""
+    return terms.select("qid", "term").join(index.cells, "term").groupBy("qid", "cell").agg(F.sum("best").alias("bound"), F.sum("count").alias("held"))
+
+
+def _scored(terms: DataFrame, index: Index, cells: DataFrame) -> DataFrame:
+    """``(qid, docid, impact)``: the postings of the queries' terms in ``cells(qid, cell)``."""
+    rows = index.postings.select("term", "docid", "impact", F.floor(F.col("docid") / CELL).alias("cell"))
+    return terms.select("qid", "term").join(rows, "term").join(cells.select("qid", "cell"), ["qid", "cell"], "left_semi").select("qid", "docid", "impact")
+
+
+def _threshold(terms: DataFrame, index: Index, bounds: DataFrame, k: int) -> DataFrame:
+    """``(qid, theta)``: the k-th score in the cells of highest bound that hold k documents at least; 0 below k documents."""
+    seeds = top_k(bounds, max(SEED_CELLS, -(-2 * k // CELL)), "cell", score="bound")
+    kth = top_k(_scored(terms, index, seeds).groupBy("qid", "docid").agg(_total()), k, "docid").where(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
     return terms.select("qid").distinct().join(kth, "qid", "left").select("qid", F.coalesce("theta", F.lit(0.0)).alias("theta"))
 
 
+def _live(bounds: DataFrame, theta: DataFrame) -> DataFrame:
+    return bounds.join(theta, "qid").where(F.col("bound") >= F.col("theta") - EDGE)
+
+
 def wand(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """Term bounds: a document that holds only terms whose bounds sum to less than theta cannot enter the top k.
 
-    Terms in order of rising bound are optional as long as their bounds sum to less than theta; candidates come from the
-    postings of the others only, and only candidates are scored.
+    Terms in order of rising bound are optional as long as their bounds sum to less than theta. Documents are scored by
+    the other terms; only those that the optional ones could still lift to theta meet the postings of these.
     """
     terms = query_terms(queries, index)
+    theta = _threshold(terms, index, _bounds(terms, index), k)
     w = Window.partitionBy("qid").orderBy("max_impact", "term").rowsBetween(Window.unboundedPreceding, 0)
-    marked = terms.withColumn("upto", F.sum("max_impact").over(w)).join(_threshold(terms, index, k), "qid")
-    needed = marked.where(F.col("upto") >= F.col("theta") - EDGE).select("qid", "term")
-    candidates = needed.join(index.postings.select("term", "docid"), "term").select("qid", "docid").distinct()
-    hits = terms.select("qid", "term").join(index.postings.select("term", "docid", "impact"), "term").join(candidates, ["qid", "docid"], "left_semi")
-    return top_k(hits.groupBy("qid", "docid").agg(_total()), k, "docid")
+    marked = terms.withColumn("upto", F.sum("max_impact").over(w)).join(theta, "qid").withColumn("needed", F.col("upto") >= F.col("theta") - EDGE)
+    marked = written(marked.select("qid", "term", "max_impact", "theta", "needed"), "marked")  # a row for each word of a query, read three times
+    slack = marked.groupBy("qid", "theta").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("max_impact"))), F.lit(0.0)).alias("rest"))
+    hits = index.postings.select("term", "docid", "impact")
+    part = marked.where("needed").select("qid", "term").join(hits, "term").groupBy("qid", "docid").agg(F.sum("impact").alias("impact"))
+    able = part.join(slack, "qid").where(F.col("impact") + F.col("rest") >= F.col("theta") - EDGE).select("qid", "docid", "impact")
+    more = marked.where("not needed").select("qid", "term").join(hits, "term").join(able.select("qid", "docid"), ["qid", "docid"], "left_semi").select("qid", "docid", "impact")
+    return top_k(able.union(more).groupBy("qid", "docid").agg(_total()), k, "docid")
 
 
 def block_max_wand(queries: DataFrame, index: Index, k: int) -> DataFrame:
-    """Block bounds: docid ranges whose best possible score is below theta are never read."""
+    """Cell bounds: postings of docid ranges whose best possible score is below theta are dropped where they are read."""
     terms = query_terms(queries, index)
-    theta = _threshold(terms, index, k)
-    cells = index.postings.groupBy("term", F.floor(F.col("docid") / RANGE).alias("cell")).agg(F.max("impact").alias("best"))
-    live = terms.select("qid", "term").join(cells, "term").groupBy("qid", "cell").agg(F.sum("best").alias("bound")).join(theta, "qid").where(F.col("bound") >= F.col("theta") - EDGE).select("qid", "cell")
-    rows = index.postings.select("term", "docid", "impact", F.floor(F.col("docid") / RANGE).alias("cell"))
-    hits = terms.select("qid", "term").join(rows, "term").join(live, ["qid", "cell"], "left_semi")
-    return top_k(hits.groupBy("qid", "docid").agg(_total()), k, "docid")
+    bounds = _bounds(terms, index)
+    live = _live(bounds, _threshold(terms, index, bounds, k))
+    return top_k(_scored(terms, index, live).groupBy("qid", "docid").agg(_total()), k, "docid")
+
+
+def pruned_stats(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``(qid, cells, cells_live, postings, postings_live, theta)``: what block bounds leave of each query's work."""
+    terms = query_terms(queries, index)
+    bounds = _bounds(terms, index)
+    theta = _threshold(terms, index, bounds, k)
+    live = F.col("bound") >= F.col("theta") - EDGE
+    held = lambda c: F.coalesce(F.sum(F.when(live, c)), F.lit(0)).cast("long")
+    return bounds.join(theta, "qid").groupBy("qid").agg(F.count("*").alias("cells"), held(F.lit(1)).alias("cells_live"), F.sum("held").alias("postings"), held(F.col("held")).alias("postings_live"), F.max("theta").alias("theta"))
 
 
 ALGORITHMS = {"daat": daat, "wand": wand, "block_max_wand": block_max_wand}

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed
-from lodestar.operators.index import sequential_ids, term_frequencies
+from lodestar.operators.index import Index, sequential_ids, term_frequencies
 
 
-def partition(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Adds ``shard``: contiguous, the first ``count % n`` shards hold one row more (ntile, without one big task)."""
-    total = docs.count()
+def shard_of(position: Column, total: int, n: int) -> Column:
+    """Contiguous shards, the first ``total % n`` of which hold one row more (ntile, without one big task)."""
     small, more = divmod(total, n)
-    pos = F.col("__pos")
     edge = more * (small + 1)
-    shard = F.when(pos < edge, F.floor(pos / (small + 1))).otherwise(more + F.floor((pos - edge) / max(1, small)))
-    return sequential_ids(docs, key, "__pos").withColumn("shard", shard.cast("int")).drop("__pos")
+    return F.when(position < edge, F.floor(position / (small + 1))).otherwise(more + F.floor((position - edge) / max(1, small))).cast("int")
+
+
+def partition(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """Adds ``shard`` by ``shard_of`` in order of the key."""
+    return sequential_ids(docs, key, "__pos").withColumn("shard", shard_of(F.col("__pos"), docs.count(), n)).drop("__pos")
 
 
 def grouped_frequencies(docs: DataFrame, group: str, stem: bool = True, stop_words: bool = True) -> DataFrame:
@@ -47,6 +49,13 @@ def grouped_postings(docs: DataFrame, group: str, k1: float = 0.9, b: float = 0.
     return impacts(tf, sizes, group, k1, b)
 
 
+def regrouped(index: Index, group: Column, name: str, kind: str = "string") -> DataFrame:
+    """``(name, term, doc_id, impact)`` of an index dealt into groups by its docids: analysed once, statistics by group."""
+    docs = index.docs.select("docid", F.col("external_id").cast(kind).alias("doc_id"), "doc_len").withColumn(name, group)
+    frequencies = index.postings.select("term", "docid", "tf", "dl").join(docs.select("docid", "doc_id", name), "docid").drop("docid")
+    return impacts(frequencies, docs.groupBy(name).agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")), name, index.k1, index.b)
+
+
 def scatter_gather(queries: DataFrame, postings: DataFrame, group: str, k: int, deleted: DataFrame | None = None, extra: int = 0, stem: bool = True) -> DataFrame:
     """Top k of each group, then of all: by score alone, ties in group order and then in the group's own order.
 

@@ -11,6 +11,7 @@ from lodestar.functions import text as tx
 from lodestar.operators import dense, fusion, index, load, metrics, rank, search, shards
 from lodestar.plans import sql
 from lodestar.sources import files
+from lodestar.sources.written import written
 from lodestar.streaming import nrt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,10 +72,7 @@ def qrels_of(spark, d):
 
 def index_of(spark, d, **options) -> index.Index:
     def make():
-        i = index.build(documents(spark, d), **options)
-        i.postings.cache()
-        i.terms.cache()
-        return i
+        return index.build(documents(spark, d), **options)
 
     return _once(spark, d, ("index", *sorted(options.items())), make)
 
@@ -107,6 +105,11 @@ def all_vectors_of(spark, d):
     return v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), v
 
 
+def segments_of(spark, d):
+    """Postings of segments of 300 documents, by each one's statistics."""
+    return _once(spark, d, "segments", lambda: written(shards.regrouped(index_of(spark, d), F.floor(F.col("docid") / 300).cast("int"), "segment_id", "long"), "segments"))
+
+
 def tombstones_of(spark, d):
     return table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
 
@@ -485,7 +488,8 @@ SELECT qid, doc_id, {group}, score, rank FROM (SELECT *, row_number() OVER (PART
 
 @query(_grouped("CAST(ntile(4) OVER (ORDER BY doc_id) - 1 AS INTEGER)", "shard"))
 def sharded_topk(spark, d):
-    p = _once(spark, d, "shards", lambda: shards.grouped_postings(shards.partition(documents(spark, d), 4), "shard").cache())
+    ix = index_of(spark, d)
+    p = _once(spark, d, "shards", lambda: written(shards.regrouped(ix, shards.shard_of(F.col("docid"), ix.n, 4), "shard", "long"), "shards"))
     return shards.scatter_gather(queries_of(spark, d), p, "shard", K)
 
 
@@ -837,13 +841,13 @@ def dynamic_batches(spark, d):
 
 @query(_grouped("CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INTEGER)", "segment_id"))
 def segment_topk(spark, d):
-    return nrt.segment_search(queries_of(spark, d), nrt.chunk(documents(spark, d), 300), K)
+    return shards.scatter_gather(queries_of(spark, d), segments_of(spark, d), "segment_id", K)
 
 
 @query(_grouped("CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INTEGER)", "segment_id", "(SELECT doc_id FROM labels WHERE toxic = 1)", "(SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1)"))
 def tombstone_search(spark, d):
     gone = tombstones_of(spark, d)
-    return nrt.segment_search(queries_of(spark, d), nrt.chunk(documents(spark, d), 300), K, gone, gone.count())
+    return shards.scatter_gather(queries_of(spark, d), segments_of(spark, d), "segment_id", K, gone, gone.count())
 
 
 @query("WITH s AS (SELECT CAST(doc_id % 11 AS INTEGER) AS position, count(*) AS doc_count FROM documents WHERE doc_id % 11 < doc_id % 23 GROUP BY 1) SELECT position, doc_count FROM s QUALIFY count(*) OVER () > 8 AND row_number() OVER (ORDER BY doc_count, position) <= 4")

@@ -34,6 +34,9 @@ def test_pruned_plans_give_the_exhaustive_rows(zipf):
     assert rows(search.search(queries, ix, 10, "wand")) == want
     assert rows(search.search(queries, ix, 10)) == want
     assert search.search(queries, ix, 0).count() == 0
+    work = search.pruned_stats(queries, ix, 10).collect()
+    assert len(work) > 50 and all(r.cells_live <= r.cells and r.postings_live <= r.postings for r in work)
+    assert sum(r.postings_live for r in work) < sum(r.postings for r in work)
     with pytest.raises(ValueError):
         search.search(queries, ix, 10, "other")
 
