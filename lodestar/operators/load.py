@@ -68,6 +68,15 @@ def fifo_single_worker(arrivals: DataFrame, *by: str) -> DataFrame:
     return c.select(*by, "id", "scheduled", "service", r(done - F.col("service")).alias("start"), r(done).alias("done"), r(done - F.col("scheduled")).alias("latency"), r(done - F.col("service") - F.col("scheduled")).alias("queue_delay"))
 
 
+def throughput_sweep(arrivals: DataFrame, factors: list[float], *by: str) -> DataFrame:
+    """An unbounded queue before one worker with arrivals sped up by each factor: requests, rates, latency percentiles."""
+    sped = arrivals.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).withColumn("scheduled", F.col("scheduled") / F.col("factor"))
+    out = fifo_single_worker(sped, *by, "factor").groupBy(*by, "factor")
+    took = F.max("done") - F.min("scheduled")
+    cuts = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return out.agg(F.count("*").alias("requests"), (F.count("*") / (F.max("scheduled") - F.min("scheduled"))).alias("offered_qps"), (F.count("*") / took).alias("completed_qps"), *cuts)
+
+
 def simulate_queue(arrivals: DataFrame, workers: int, capacity: int | None, by: str = "run") -> DataFrame:
     """Each run's arrivals through ``workers`` and a bounded queue (None: unbounded); what finds it full is shed."""
 

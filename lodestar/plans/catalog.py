@@ -354,6 +354,15 @@ def _search(algorithm):
 for _name, _algorithm in (("bm25_daat_topk", "daat"), ("bm25_wand_topk", "wand"), ("bm25_bmw_topk", "block_max_wand")):
     query(_TOP, _name)(_search(_algorithm))
 
+@query(f"WITH {_IX} SELECT qid, count(DISTINCT docid // 64) AS cells, count(*) AS postings, true AS pruned_no_more FROM q JOIN post USING (term) GROUP BY qid")
+def pruning_work(spark, d):
+    """Cells and postings of each query, and whether pruning reads no more than these and never more than its threshold allows."""
+    work = search.pruned_stats(queries_of(spark, d), index_of(spark, d), K)
+    kth = run_of(spark, d).where(F.col("rank") == K).select("qid", "score")
+    fine = (F.col("cells_live") <= F.col("cells")) & (F.col("postings_live") <= F.col("postings")) & (F.col("theta") <= F.coalesce("score", F.lit(0.0)) + search.EDGE)
+    return work.join(kth, "qid", "left").select("qid", "cells", "postings", fine.alias("pruned_no_more"))
+
+
 _ALT = dict(k1=1.2, b=0.75, stop=False)
 
 
@@ -441,6 +450,22 @@ def open_loop_single_worker(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("start", "done", "latency", "queue_delay")})
 
 
+_SPED = "sped AS (SELECT arr.* EXCLUDE (scheduled), factor, scheduled / factor AS scheduled FROM arr, (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (4.0)) AS t(factor))"
+_SWEEP = f"""WITH {_ARR}, {_SPED},
+c AS (SELECT *, sum(service) OVER w AS cs FROM sped WINDOW w AS (PARTITION BY run, factor ORDER BY scheduled, id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, cs + max(scheduled - (cs - service)) OVER (PARTITION BY run, factor ORDER BY scheduled, id ROWS UNBOUNDED PRECEDING) AS fin FROM c)
+SELECT run, factor, count(*) AS requests, round(count(*) / (max(scheduled) - min(scheduled)), 4) AS offered_qps,
+  round(count(*) / (max(fin) - min(scheduled)), 4) AS completed_qps, round(quantile_disc(fin - scheduled, 0.5), 3) AS p50,
+  round(quantile_disc(fin - scheduled, 0.95), 3) AS p95, round(quantile_disc(fin - scheduled, 0.99), 3) AS p99
+FROM f GROUP BY run, factor"""
+
+
+@query(_SWEEP)
+def throughput_sweep(spark, d):
+    out = load.throughput_sweep(arrivals_of(spark, d).select("run", "id", "scheduled", "service"), [0.5, 1.0, 4.0], "run")
+    return out.withColumns({c: F.round(c, 4 if c.endswith("qps") else 3) for c in ("offered_qps", "completed_qps", "p50", "p95", "p99")})
+
+
 @query(f"{_FIFO} SELECT run, round(min(fin - scheduled), 4) AS lo, round(median(fin - scheduled), 4) AS mid, round(max(fin - scheduled), 4) AS hi FROM f GROUP BY run")
 def repeat_spread(spark, d):
     out = load.fifo_single_worker(arrivals_of(spark, d).select("run", "id", "scheduled", "service"), "run")
@@ -529,6 +554,18 @@ def cache_sensitivity(spark, d):
     return h.groupBy("run").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count("*").alias("uses"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY service) FILTER (WHERE NOT hit)").alias("miss_p95"))
 
 
+@query(f"""{_LRU}, t AS (SELECT h.run, hit, CASE WHEN hit THEN round(service * 0.05, 6) ELSE service END AS took FROM h JOIN arr ON h.run = arr.run AND h.seq = arr.id),
+m AS (SELECT run, quantile_disc(took, 0.5) FILTER (WHERE hit) AS hit_p50, quantile_disc(took, 0.5) FILTER (WHERE NOT hit) AS miss_p50 FROM t GROUP BY run)
+SELECT run, hit_p50, miss_p50, round(miss_p50 / hit_p50, 4) AS ratio FROM m""")
+def miss_hit_ratio(spark, d):
+    """A hit is answered in a twentieth of the service time."""
+    h = load.lru_hits(_log(spark, d), 20).join(arrivals_of(spark, d).select("run", F.col("id").alias("seq"), "service"), ["run", "seq"])
+    h = h.withColumn("took", F.when(F.col("hit"), F.round(F.col("service") * 0.05, 6)).otherwise(F.col("service")))
+    p50 = lambda which: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY took) FILTER (WHERE {which})")
+    m = h.groupBy("run").agg(p50("hit").alias("hit_p50"), p50("NOT hit").alias("miss_p50"))
+    return m.withColumn("ratio", F.round(F.col("miss_p50") / F.col("hit_p50"), 4))
+
+
 @query(f"WITH {_ARR} SELECT run, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS errors FROM arr GROUP BY run")
 def error_counts(spark, d):
     return arrivals_of(spark, d).groupBy("run").agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("errors"))
@@ -592,6 +629,25 @@ def hnsw(spark, d):
     return dense.hnsw_search(q, v, K)
 
 
+@query("SELECT method, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS queries, true AS enough FROM (VALUES ('ivf_pq'), ('hnsw'), ('hnsw m=8 ef=128'), ('ivf_pq nlist=32')) AS t(method)")
+def ann_recall(spark, d):
+    """Whether the mean recall at 10 of the registered settings and of others of a sweep reaches 0.9, over the whole table."""
+    q, v = all_vectors_of(spark, d)
+    truth = written(dense.exact_knn(q, v, K), "truth")
+    runs = {
+        "ivf_pq": dense.ivf_pq_search(q, v, K),
+        "hnsw": dense.hnsw_search(q, v, K),
+        "hnsw m=8 ef=128": dense.hnsw_search(q, v, K, m=8, ef=128),
+        "ivf_pq nlist=32": dense.ivf_pq_search(q, v, K, nlist=32, nprobe=8),
+    }
+    out = None
+    for name, run in runs.items():
+        met = truth.select("qid", "doc_id").join(run.select("qid", "doc_id", F.lit(1).alias("met")), ["qid", "doc_id"], "left")
+        one = met.agg(F.countDistinct("qid").alias("queries"), (F.count("met") / F.count("*") >= 0.9).alias("enough")).select(F.lit(name).alias("method"), "queries", "enough")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _I8 = "i8 AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x * 127 / list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda y: abs(y))))) AS e FROM embeddings)"
 
 
@@ -839,6 +895,16 @@ def dynamic_batches(spark, d):
 # --- I: segments
 
 
+@query(f"""WITH {_ARR}, c AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY scheduled, id) - 1) // 50 AS chunk FROM arr),
+f AS (SELECT run, chunk, max(scheduled) AS flushed FROM c GROUP BY run, chunk HAVING count(*) = 50),
+l AS (SELECT c.run, flushed - scheduled AS lag FROM c LEFT JOIN f USING (run, chunk))
+SELECT run, count(lag) AS seen, count(*) - count(lag) AS unseen, quantile_disc(lag, 0.5) AS p50, quantile_disc(lag, 0.99) AS p99 FROM l GROUP BY run""")
+def indexing_lag(spark, d):
+    cut = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY lag)")
+    out = nrt.visibility_lag(arrivals_of(spark, d), 50).groupBy("run")
+    return out.agg(F.count("lag").alias("seen"), F.count(F.when(F.col("lag").isNull(), 1)).alias("unseen"), cut(0.5).alias("p50"), cut(0.99).alias("p99"))
+
+
 @query(_grouped("CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INTEGER)", "segment_id"))
 def segment_topk(spark, d):
     return shards.scatter_gather(queries_of(spark, d), segments_of(spark, d), "segment_id", K)

@@ -120,7 +120,33 @@ def write_record(spark: SparkSession, path: str, config: dict, points: list[dict
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small aggregate as a markdown table."""
-    rows = df.limit(most).collect()
+    """A small aggregate as a markdown table; more than ``most`` rows are refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is no report")
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     return head + "".join(f"| {' | '.join(map(str, r))} |\n" for r in rows)
+
+
+def write_vectors(vectors: DataFrame, path: str, key: str = "doc_id") -> None:
+    """``(key, embedding)`` as Parquet, sorted by key within its files."""
+    vectors.select(key, F.col("embedding").cast("array<float>").alias("embedding")).sortWithinPartitions(key).write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_ground_truth(neighbours: DataFrame, path: str) -> None:
+    """``(qid, doc_id, score, rank)`` as one row a query with its neighbours in order of rank."""
+    entry = F.struct("rank", "doc_id", "score")
+    neighbours.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("neighbours")).write.parquet(path)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("qid", F.explode("neighbours").alias("n")).select("qid", "n.doc_id", "n.score", "n.rank")
+
+
+def write_pair_features(features: DataFrame, path: str) -> None:
+    """Features of query and document pairs, a JSON object a line."""
+    features.select(F.to_json(F.struct(*features.columns)).alias("value")).write.text(path)

@@ -259,3 +259,16 @@ def test_two_streams_into_one_store_lose_nothing(spark, tmp_path):
 def test_batches(spark):
     e = spark.createDataFrame([(0, i, t) for i, t in enumerate([0.0, 1.0, 2.0, 50.0, 200.0])], "run long, id long, t double")
     assert [r[1] for r in rows(nrt.batches(e, 2, 100.0), "id", "batch")] == [0, 0, 1, 1, 2]
+
+
+def test_vector_truth_and_feature_sinks(spark, tmp_path):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "doc_id long, embedding array<double>")
+    files.write_vectors(v, str(tmp_path / "v"))
+    assert rows(files.read_vectors(spark, str(tmp_path / "v")), "doc_id") == [(i,) for i in range(5)]
+    near = spark.createDataFrame([(1, 7, 0.5, 2), (1, 8, 0.9, 1), (2, 7, 0.1, 1)], "qid long, doc_id long, score double, rank int")
+    files.write_ground_truth(near, str(tmp_path / "t"))
+    assert rows(files.read_ground_truth(spark, str(tmp_path / "t"))) == rows(near)
+    files.write_pair_features(near, str(tmp_path / "f"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "f")).collect())[0] == '{"qid":1,"doc_id":7,"score":0.5,"rank":2}'
+    with pytest.raises(ValueError):
+        files.markdown_table(near, most=2)
