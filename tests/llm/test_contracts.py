@@ -695,6 +695,9 @@ def test_empty_tables(spark, none, tmp_path):
 def test_language_model_reads_whole_texts_and_keeps_rare_languages(spark):
     rows = [(i, "the cat sat on the mat " * 50, "en") for i in range(5)] + [(5, "xxxx " * 2_000 + "zorgle zorgle", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert "zorgle" in language.fit(docs).words
-    few = language.fit(docs, max_words=2, max_grams=5)
-    assert set(few.words) == {"the", "cat", "xxxx", "zorgle"} and few.langs == ["aa", "en"]
+    model = language.fit(docs)
+    assert model.langs == ["aa", "en"]
+    texts = spark.createDataFrame([(1, "zorgle"), (2, "the cat"), (3, "zorgles")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(texts, model, "doc_id").collect()}
+    # the word stands after 10,000 characters of the one text of its language, and an unseen form backs off to its n-grams
+    assert got == {1: "aa", 2: "en", 3: "aa"}
