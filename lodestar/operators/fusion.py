@@ -5,9 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.metrics import evaluate
+from lodestar.sources.files import read_run
+
 RRF_K = 60
 
 
+def load_channels(manifest: DataFrame, query_set: str, engine: str, dense: DataFrame, judged: DataFrame) -> DataFrame:
+    """The two channels of a comparison: the run that the manifest last names, and dense rows of judged queries.
+
+    ``manifest(query_set, engine, at, path)``; LookupError if it names no such run.
+    """
+    rows = manifest.where((F.col("query_set") == query_set) & (F.col("engine") == engine)).orderBy(F.desc("at")).limit(1).collect()
+    if not rows:
+        raise LookupError(f"no run of {engine} on {query_set}")
+    run = read_run(manifest.sparkSession, rows[0].path)
+    lexical = run.select(F.col("qid").cast("long").alias("qid"), F.lit("lexical").alias("channel"), F.col("doc_id").cast("long").alias("doc_id"), "score", "rank")
+    near = dense.join(judged.select("qid").distinct(), "qid", "left_semi")
+    return lexical.union(near.select("qid", F.lit("dense").alias("channel"), "doc_id", "score", "rank"))
+
+
+def compare(channels: DataFrame, qrels: DataFrame, thresholds: dict[str, int]) -> DataFrame:
+    """A row for each channel, for ``rrf`` and for ``score``: NDCG at 10, recall at 1000 and the depth of the run.
+
+    ``thresholds`` names each channel and the grade it counts as relevant; ValueError if they differ.
+    """
+    if len(set(thresholds.values())) != 1:
+        raise ValueError(f"channels of different thresholds: {thresholds}")
+    runs = {c: channels.where(F.col("channel") == c) for c in thresholds} | {"rrf": rrf(channels), "score": score_fusion(channels)}
+    out = None
+    for name, r in runs.items():
+        e = evaluate(r.select("qid", "doc_id", "score"), qrels, *set(thresholds.values())).select(F.lit(name).alias("channel"), "ndcg_10", "recall_1000", "run_depth")
+        out = e if out is None else out.union(e)
+    return out
+
+
 def rrf(channels: DataFrame) -> DataFrame:
     """Reciprocal ranks over the channels that hold the document; ties of a channel keep its own order."""
     w = Window.partitionBy("qid", "channel").orderBy(F.desc("score"), "rank")

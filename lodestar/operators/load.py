@@ -99,6 +99,32 @@ def simulate_queue(arrivals: DataFrame, workers: int, capacity: int | None, by:
     return arrivals.select(by, "id", "scheduled", "service").groupBy(by).applyInPandas(lambda pdf: run(pdf), f"{by} long, id long, scheduled double, start double, done double, shed boolean")
 
 
+def queue_discipline(arrivals: DataFrame, workers: int, capacities: list[int | None], by: str = "run") -> DataFrame:
+    """Each capacity (None: unbounded, given as -1): requests, shed ones, completed ones a second, the worst latency."""
+    out = None
+    for c in capacities:
+        one = simulate_queue(arrivals, workers, c, by).groupBy(by).agg(
+            F.count("*").alias("requests"),
+            F.count(F.when(F.col("shed"), 1)).alias("shed"),
+            (F.count("done") / (F.max("done") - F.min("scheduled"))).alias("completed_qps"),
+            F.max(F.col("done") - F.col("scheduled")).alias("worst"),
+        )
+        one = one.withColumn("capacity", F.lit(-1 if c is None else c))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def tail_latency(latencies: DataFrame, sizes: list[int], repeats: int) -> DataFrame:
+    """``latencies(request, shard, took)``: a request to n shards waits for the slowest of the first n.
+
+    Requests are dealt into repeats; for each n the smallest, middle and largest 99th percentile of the repeats.
+    """
+    worst = latencies.groupBy("request").agg(*(F.max(F.when(F.col("shard") < n, F.col("took"))).alias(str(n)) for n in sizes))
+    rows = worst.select("request", F.explode(F.array(*(F.struct(F.lit(n).alias("shards"), F.col(str(n)).alias("took")) for n in sizes))).alias("x"))
+    p99 = rows.select("x.*", F.pmod("request", F.lit(repeats)).alias("repeat")).groupBy("shards", "repeat").agg(exact_percentile("took", "0.99").alias("p99"))
+    return repeat_spread(p99, "p99", "shards")
+
+
 def find_knee(points: DataFrame) -> DataFrame:
     """``points(offered, achieved, wall, duration, samples)``: the first point past saturation and the last before it."""
     past = (F.col("achieved") < 0.95 * F.col("offered")) & (F.col("wall") > 1.1 * F.col("duration"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import dense
 from lodestar.operators.dense import dot, pseudo_random
 
 FEATURES = ("bm25", "dense", "doc_len")
@@ -143,6 +144,21 @@ def rescore(pairs: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[flo
     return pairs.select("qid", "doc_id", "query", "text").mapInPandas(run, "qid long, doc_id long, score double")
 
 
+#: How the vectors of ``precision_scores`` are kept.
+PRECISIONS: dict[str, Callable[[Column], Column]] = {"fp32": lambda v: v, "fp16": dense.half, "int8": dense.scaled_int8}
+
+
+def precision_scores(pairs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
+    """``pairs(qid, doc_id)`` -> ``(precision, qid, doc_id, score)``: inner products with vectors kept at each precision.
+
+    One pass over the pairs; ``query_vectors(qid, embedding)``, ``doc_vectors(vec_id, embedding)``.
+    """
+    at = lambda df, key, new: df.select(F.col(key).alias(new), F.array(*(f(F.col("embedding")) if p != "fp32" else F.transform("embedding", lambda x: x.cast("double")) for p, f in PRECISIONS.items())).alias(f"__{new}"))
+    both = pairs.select("qid", "doc_id").join(at(query_vectors, "qid", "qid"), "qid").join(at(doc_vectors, "vec_id", "doc_id"), "doc_id")
+    scores = F.array(*(F.struct(F.lit(p).alias("precision"), F.round(dense.dot(F.col("__qid")[i], F.col("__doc_id")[i]), 6).alias("score")) for i, p in enumerate(PRECISIONS)))
+    return both.select("qid", "doc_id", F.explode(scores).alias("s")).select("s.precision", "qid", "doc_id", "s.score")
+
+
 def half_precision(df: DataFrame, column: str) -> DataFrame:
     """Vectors rounded to 16-bit floats."""
 

@@ -11,7 +11,7 @@ from lodestar.functions import text as tx
 from lodestar.operators import dense, fusion, index, load, metrics, phrases, rank, search, shards
 from lodestar.plans import sql
 from lodestar.sources import files
-from lodestar.sources.written import written
+from lodestar.sources.written import scratch_path, written
 from lodestar.streaming import nrt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,12 +548,37 @@ def error_counts(spark, d):
     return arrivals_of(spark, d).groupBy("run").agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("errors"))
 
 
-@query()
+#: Two workers, a queue of eight or (-1) of any length, arrivals as they are and four times as fast: one of each run at a time.
+_QUEUE = f"""WITH RECURSIVE {_ARR}, o AS MATERIALIZED (SELECT run, capacity, speed, scheduled / speed AS scheduled, service, row_number() OVER (PARTITION BY run, capacity, speed ORDER BY scheduled, id) AS i FROM arr, (VALUES (8, CAST(1 AS DOUBLE)), (8, 4), (-1, 4)) AS t(capacity, speed)),
+s AS (SELECT DISTINCT run, capacity, speed, CAST(0 AS BIGINT) AS i, CAST([0, 0] AS DOUBLE[]) AS free, CAST([] AS DOUBLE[]) AS waits, false AS shed, CAST(NULL AS DOUBLE) AS scheduled, CAST(NULL AS DOUBLE) AS done FROM o
+  UNION ALL SELECT run, capacity, speed, i, CASE WHEN out THEN free ELSE list_sort([free[2], start + service]) END, CASE WHEN out OR capacity < 0 OR start <= scheduled THEN waits ELSE list_append(waits, start) END, out, scheduled, CASE WHEN NOT out THEN start + service END
+  FROM (SELECT *, start > scheduled AND capacity >= 0 AND len(waits) >= capacity AS out
+    FROM (SELECT o.*, free, greatest(o.scheduled, free[1]) AS start, list_filter(waits, lambda x: x > o.scheduled) AS waits FROM s JOIN o ON o.run = s.run AND o.capacity = s.capacity AND o.speed = s.speed AND o.i = s.i + 1)))"""
+
+
+@query(f"{_QUEUE} SELECT run, count(*) AS requests, count(*) FILTER (WHERE shed) AS shed, round(max(done - scheduled), 6) AS worst FROM s WHERE i > 0 AND capacity = 8 AND speed = 1 GROUP BY run")
 def shed_counts(spark, d):
     s = load.simulate_queue(arrivals_of(spark, d), 2, 8)
     return s.groupBy("run").agg(F.count("*").alias("requests"), F.count(F.when(F.col("shed"), 1)).alias("shed"), F.round(F.max(F.col("done") - F.col("scheduled")), 6).alias("worst"))
 
 
+@query(f"""{_QUEUE} SELECT run, capacity, count(*) AS requests, count(*) FILTER (WHERE shed) AS shed, round(count(done) / (max(done) - min(scheduled)), 4) AS completed_qps, round(max(done - scheduled), 4) AS worst
+FROM s WHERE i > 0 AND speed = 4 GROUP BY run, capacity""")
+def queue_discipline(spark, d):
+    """Arrivals at four times their speed, more than two workers serve: shedding bounds the wait, an unbounded queue does not."""
+    out = load.queue_discipline(arrivals_of(spark, d).withColumn("scheduled", F.col("scheduled") / 4), 2, [8, None])
+    return out.withColumns({c: F.round(c, 4) for c in ("completed_qps", "worst")})
+
+
+@query("""WITH l AS (SELECT event_id // 16 AS request, event_id % 16 AS shard, abs(value) % CAST(50 AS DOUBLE) AS took FROM events),
+w AS (SELECT n AS shards, request, max(took) AS took FROM l, (VALUES (1), (4), (8), (16)) AS t(n) WHERE shard < n GROUP BY ALL),
+p AS (SELECT shards, request % 3 AS repeat, quantile_disc(took, 0.99) AS p99 FROM w GROUP BY ALL)
+SELECT shards, round(min(p99), 6) AS lo, round(median(p99), 6) AS mid, round(max(p99), 6) AS hi FROM p GROUP BY shards""")
+def tail_latency(spark, d):
+    l = table(spark, d, "events").select(F.floor(F.col("event_id") / 16).alias("request"), F.pmod("event_id", F.lit(16)).alias("shard"), (F.abs("value") % 50.0).alias("took"))
+    return load.tail_latency(l, [1, 4, 8, 16], 3).select("shards", *(F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")))
+
+
 # --- F: dense retrieval and fusion
 
 _KNN = "knn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10)"
@@ -680,18 +705,9 @@ i AS (SELECT qid, sum(CASE WHEN r <= 10 THEN rel / log2(r + 1) ELSE 0 END) AS i1
 four AS (SELECT DISTINCT channel FROM c4)"""
 
 
-@query(f"WITH {_IX}, {_CH}, {sql.QRELS}, {_FC} SELECT channel, round(avg(round(coalesce(d10, 0) / i10, 6)), 6) AS ndcg_10, round(avg(round(coalesce(h, 0) / w, 6)), 6) AS recall_1000 FROM (SELECT four.channel, i.*, g.d10, g.h FROM four CROSS JOIN i LEFT JOIN g ON g.channel = four.channel AND g.qid = i.qid) GROUP BY channel")
+@query(f"WITH {_IX}, {_CH}, {sql.QRELS}, {_FC} SELECT channel, round(avg(round(coalesce(d10, 0) / i10, 6)), 6) AS ndcg_10, round(avg(round(coalesce(h, 0) / w, 6)), 6) AS recall_1000, any_value(depth) AS run_depth FROM (SELECT four.channel, i.*, g.d10, g.h FROM four CROSS JOIN i LEFT JOIN g ON g.channel = four.channel AND g.qid = i.qid) JOIN (SELECT channel, max(n) AS depth FROM (SELECT channel, count(*) AS n FROM c4 GROUP BY channel, qid) GROUP BY channel) USING (channel) GROUP BY channel")
 def fusion_compare(spark, d):
-    return _compare(_channels(spark, d), "short", qrels_of(spark, d))
-
-
-def _compare(ch, second, rel):
-    runs = {"lexical": ch.where("channel = 'lexical'"), second: ch.where(F.col("channel") == second), "rrf": fusion.rrf(ch), "score": fusion.score_fusion(ch)}
-    out = None
-    for name, r in runs.items():
-        e = metrics.evaluate(r.select("qid", "doc_id", "score"), rel).select(F.lit(name).alias("channel"), "ndcg_10", "recall_1000")
-        out = e if out is None else out.union(e)
-    return out
+    return fusion.compare(_channels(spark, d), qrels_of(spark, d), {"lexical": 1, "short": 1})
 
 
 def encoded_of(spark, d):
@@ -727,7 +743,22 @@ def score_fusion_dense(spark, d):
 
 @query()
 def fusion_compare_dense(spark, d):
-    return _compare(_dense_channels(spark, d), "dense", qrels_of(spark, d))
+    return fusion.compare(_dense_channels(spark, d), qrels_of(spark, d), {"lexical": 1, "dense": 1})
+
+
+@query(f"WITH {_IX}, {_CH}, {sql.QRELS} SELECT qid, 'lexical' AS channel, doc_id, score FROM run UNION ALL SELECT qid, 'dense', doc_id, score FROM ch WHERE channel = 'short' AND qid IN (SELECT qid FROM qrels)")
+def loaded_channels(spark, d):
+    """The run goes to a file that a manifest names, over an older entry, and is read back; the other channel keeps judged queries."""
+
+    def make():
+        path = scratch_path(spark, "run-files")
+        files.write_run(run_of(spark, d), path, "bm25")
+        return path
+
+    path = _once(spark, d, "run file", make)
+    manifest = spark.createDataFrame([("dev", "bm25", 1, "replaced"), ("dev", "bm25", 2, path), ("dev", "other", 3, "other")], "query_set string, engine string, at long, path string")
+    short = _channels(spark, d).where("channel = 'short'")
+    return fusion.load_channels(manifest, "dev", "bm25", short, qrels_of(spark, d)).select("qid", "channel", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {sql.QRELS}, u AS (SELECT DISTINCT doc_id FROM qrels), f AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM u) ORDER BY {_LCG.format(x='doc_id', s=1)}, doc_id LIMIT (SELECT 150 - count(*) FROM u)) SELECT doc_id FROM u UNION ALL SELECT doc_id FROM f")
@@ -847,19 +878,71 @@ def cascade_metrics(spark, d):
     return metrics.evaluate(rescored_survivors(spark, d), qrels_of(spark, d)).select("queries", "ndcg_10", "recall_100")
 
 
+_FP16 = "CASE WHEN x = 0 THEN 0 ELSE round_even(x / power(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * power(2, greatest(floor(log2(abs(x))), -14) - 10) END"
+_TOP8 = "list_max(list_transform(v, lambda y: abs(y)))"
+_PREC = f"""{_SURV}, vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
+kept AS MATERIALIZED (SELECT vec_id, n, 'fp32' AS precision, v FROM vec UNION ALL SELECT vec_id, n, 'fp16', list_transform(v, lambda x: {_FP16}) FROM vec
+  UNION ALL SELECT vec_id, n, 'int8', list_transform(v, lambda x: round(x * 127 / {_TOP8}) * {_TOP8} / 127) FROM vec),
+ps AS MATERIALIZED (SELECT a.precision, sv.qid, sv.doc_id, round(list_inner_product(a.v, b.v), 6) AS score FROM sv JOIN kept a ON a.vec_id = sv.qid % a.n JOIN kept b ON b.precision = a.precision AND b.vec_id = sv.doc_id % b.n)"""
+
+
+@query(f"WITH {_PREC} SELECT precision, count(*) AS pairs, round(avg(score), 5) AS mean, count(*) FILTER (WHERE r <= 10 AND t <= 10) * 1.0 / count(*) FILTER (WHERE t <= 10) AS kept_10 FROM (SELECT *, row_number() OVER (PARTITION BY precision, qid ORDER BY score DESC, doc_id) AS r FROM ps) JOIN (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS t FROM ps WHERE precision = 'fp32') USING (qid, doc_id) GROUP BY precision")
+def precision_rescoring(spark, d):
+    """Survivors scored again with vectors kept at each precision: what stays of the first ten of full precision."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    at = lambda c: F.pmod(c, F.lit(e.count())).alias("vec_id")
+    qv = queries_of(spark, d).select("qid", at(F.col("qid"))).join(e, "vec_id").select("qid", "embedding")
+    dv = documents(spark, d).select(F.col("doc_id").alias("id"), at(F.col("doc_id"))).join(e, "vec_id").select(F.col("id").alias("vec_id"), "embedding")
+    s = written(rank.precision_scores(_survivors(spark, d), qv, dv), "precisions")
+    r = s.withColumn("r", F.row_number().over(Window.partitionBy("precision", "qid").orderBy(F.desc("score"), "doc_id")))
+    full = r.where("precision = 'fp32'").select("qid", "doc_id", F.col("r").alias("t"))
+    top = F.count(F.when((F.col("r") <= K) & (F.col("t") <= K), 1)) / F.count(F.when(F.col("t") <= K, 1))
+    return r.join(full, ["qid", "doc_id"]).groupBy("precision").agg(F.count("*").alias("pairs"), F.round(F.avg("score"), 5).alias("mean"), top.alias("kept_10"))
+
+
 @query("WITH q AS (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM benchmark), x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT i, qid, doc_id FROM range(0, 256) t(i) JOIN q ON q.p = i % q.n JOIN x ON x.p = i % x.n")
 def request_pairs(spark, d):
     return rank.request_pairs(queries_of(spark, d), documents(spark, d))
 
 
-@query()
+#: One arrival of each run at a time: the batch's number, size and first time.
+_BATCH = f"""WITH RECURSIVE {_ARR}, o AS MATERIALIZED (SELECT run, most, wait, scheduled AS t, row_number() OVER (PARTITION BY run, most, wait ORDER BY scheduled, id) AS i FROM arr, (VALUES (4), (8), (16)) AS m(most), (VALUES (CAST(2 AS DOUBLE)), (5), (20)) AS w(wait)),
+s AS (SELECT DISTINCT run, most, wait, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS size, CAST(0 AS DOUBLE) AS began, CAST(0 AS DOUBLE) AS t FROM o
+  UNION ALL SELECT run, most, wait, i, batch + CAST(closed AS BIGINT), CASE WHEN closed THEN 1 ELSE size + 1 END, CASE WHEN closed OR size = 0 THEN t ELSE began END, t
+  FROM (SELECT o.*, batch, size, began, size > 0 AND (size >= o.most OR o.t - began >= o.wait) AS closed FROM s JOIN o ON o.run = s.run AND o.most = s.most AND o.wait = s.wait AND o.i = s.i + 1))"""
+
+
+@query(f"{_BATCH} SELECT run, count(DISTINCT batch) AS batches, count(*) AS items FROM s WHERE i > 0 AND most = 8 AND wait = 20 GROUP BY run")
 def dynamic_batches(spark, d):
     a = arrivals_of(spark, d).select("run", "id", F.col("scheduled").alias("t"))
     return nrt.batches(a, 8, 20.0).groupBy("run").agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("items"))
 
 
+@query(f"""{_BATCH}, b AS (SELECT run, most, wait, batch, count(*) AS n, CASE WHEN count(*) >= most THEN max(t) ELSE min(t) + wait END * count(*) - sum(t) AS waited FROM s WHERE i > 0 GROUP BY run, most, wait, batch)
+SELECT run, most, wait, count(*) AS batches, round(sum(n) / count(*), 6) AS mean_size, round(sum(waited) / sum(n), 4) AS mean_wait FROM b GROUP BY run, most, wait""")
+def batching_sweep(spark, d):
+    a = arrivals_of(spark, d).select("run", "id", F.col("scheduled").alias("t"))
+    out = nrt.batching_sweep(a, [4, 8, 16], [2.0, 5.0, 20.0])
+    return out.withColumn("mean_size", F.round("mean_size", 6)).withColumn("mean_wait", F.round("mean_wait", 4))
+
+
 # --- I: segments
 
+#: Numbers of segments of a sweep.
+SEGMENTS = (1, 2, 4, 8)
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS segments, qid, doc_id, score, rank FROM ({_grouped(f'CAST(ntile({n}) OVER (ORDER BY doc_id) - 1 AS INTEGER)', 'segment_id')})" for n in SEGMENTS))
+def segment_sweep(spark, d):
+    """The same documents in more and more segments, each with statistics of its own."""
+    ix, out = index_of(spark, d), None
+    for n in SEGMENTS:
+        postings = shards.regrouped(ix, shards.shard_of(F.col("docid"), ix.n, n), "segment_id", "long")
+        one = shards.scatter_gather(queries_of(spark, d), postings, "segment_id", K).select(F.lit(n).alias("segments"), "qid", "doc_id", "score", "rank")
+        out = one if out is None else out.union(one)
+    return out
+
+
 
 @query(f"""WITH {_ARR}, c AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY scheduled, id) - 1) // 50 AS chunk FROM arr),
 f AS (SELECT run, chunk, max(scheduled) AS flushed FROM c GROUP BY run, chunk HAVING count(*) = 50),

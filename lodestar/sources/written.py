@@ -21,9 +21,14 @@ def _root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder, for files that ``clear`` deletes with the tables."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
