@@ -98,3 +98,16 @@ def test_batching_sweep_counts_waits(spark):
     assert got[2, 3.0] == (3, 5 / 3, round((1 + 0 + 0.5 + 0 + 3) / 5, 6))
     # 0 and 1 go at 3; the others at 8
     assert got[9, 3.0] == (2, 2.5, round((3 + 2 + 3 + 2.5 + 2) / 5, 6))
+
+
+def test_cells_of_many_centroids(spark):
+    rnd = np.random.default_rng(5)
+    x, c = rnd.normal(size=(300, 6)).round(3), rnd.normal(size=(2_000, 6)).round(3)
+    c[7] = c[3]  # equal centroids: the first
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())] + [(300, None)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cell for r in dense.assign(v, c.tolist()).collect()}
+    assert got == {i: int(np.argmax(np.round(x[i] @ c.T, 9))) for i in range(300)} and 7 not in got.values()
+    best = {}
+    for r in dense.probes(v.withColumnRenamed("vec_id", "qid"), c.tolist(), 5).collect():
+        best.setdefault(r.qid, set()).add(r.cell)
+    assert best == {i: set(np.argsort(-np.round(x[i] @ c.T, 9), kind="stable")[:5].tolist()) for i in range(300)}
