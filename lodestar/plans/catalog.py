@@ -345,6 +345,18 @@ def pruning_work(spark, d):
     return work.join(kth, "qid", "left").select("qid", "cells", "postings", fine.alias("pruned_no_more"))
 
 
+@query(f"WITH {_IX}, {sql.hits(K)} SELECT algorithm, (SELECT count(*) FROM hits) AS rows, CAST(0 AS BIGINT) AS differing FROM (VALUES ('wand'), ('block_max_wand')) AS t(algorithm)")
+def search_equivalence(spark, d):
+    """Rows of each pruned plan, and how many it and the exhaustive plan do not share."""
+    full, out = written(_search("daat")(spark, d), "exhaustive"), None
+    for name in ("wand", "block_max_wand"):
+        got = written(_search(name)(spark, d), name)
+        apart = full.exceptAll(got).union(got.exceptAll(full)).agg(F.count("*").alias("differing"))
+        one = got.agg(F.count("*").alias("rows")).withColumn("__one", F.lit(1)).join(apart.withColumn("__one", F.lit(1)), "__one").select(F.lit(name).alias("algorithm"), "rows", "differing")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _ALT = dict(k1=1.2, b=0.75, stop=False)
 
 
@@ -543,6 +555,28 @@ def miss_hit_ratio(spark, d):
     return m.withColumn("ratio", F.round(F.col("miss_p50") / F.col("hit_p50"), 4))
 
 
+#: Exponents of a sweep over how skewed the requests are.
+SKEWS = (0.5, 1.0, 1.5)
+_SKEW = f"""WITH w AS (SELECT s, r AS rank, power(CAST(r AS DOUBLE), -s) AS w FROM range(1, 51) t(r), (VALUES (CAST(0.5 AS DOUBLE)), (1), (1.5)) AS z(s)),
+c AS (SELECT s, rank, CASE WHEN rank = 50 THEN 1.0 ELSE round(sum(w) OVER (PARTITION BY s ORDER BY rank) / sum(w) OVER (PARTITION BY s), 12) END AS cdf FROM w),
+u AS (SELECT event_id AS id, round(abs(value) % CAST(3 AS DOUBLE), 6) AS service, {_U.format(x='event_id', s=5)} AS u FROM events),
+arr AS MATERIALIZED (SELECT s AS run, id, any_value(service) AS service, min(rank) AS key FROM u, c WHERE cdf >= u GROUP BY s, id),"""
+
+
+@query(f"{_LRU.replace(f'WITH {_ARR},', _SKEW)} SELECT h.run AS skew, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate, quantile_disc(service * 0.05, 0.5) FILTER (WHERE hit) AS hit_p50, quantile_disc(service, 0.5) FILTER (WHERE NOT hit) AS miss_p50 FROM h JOIN arr ON h.run = arr.run AND h.seq = arr.id GROUP BY h.run")
+def cache_by_skew(spark, d):
+    """The same requests drawn more and more unevenly from fifty queries, through a cache of twenty."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.round(F.abs("value") % 3.0, 6).alias("service"))
+    log = None
+    for run, skew in enumerate(SKEWS):
+        one = load.zipf_draws(e.select("id"), 50, skew).select(F.lit(run).alias("run"), F.col("id").alias("seq"), F.col("rank").alias("key"))
+        log = one if log is None else log.union(one)
+    h = load.lru_hits(log, 20).join(e.withColumnRenamed("id", "seq"), "seq")
+    p50 = lambda value, which: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value}) FILTER (WHERE {which})")
+    m = h.groupBy("run").agg(F.round(F.count(F.when(F.col("hit"), 1)) / F.count("*"), 6).alias("hit_rate"), p50("service * 0.05D", "hit").alias("hit_p50"), p50("service", "NOT hit").alias("miss_p50"))
+    return m.select(F.element_at(F.array(*map(F.lit, SKEWS)), F.col("run").cast("int") + 1).alias("skew"), "hit_rate", "hit_p50", "miss_p50")
+
+
 @query(f"WITH {_ARR} SELECT run, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS errors FROM arr GROUP BY run")
 def error_counts(spark, d):
     return arrivals_of(spark, d).groupBy("run").agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("errors"))
