@@ -20,6 +20,8 @@ from lodestar.llm.queries import vocabulary
 
 #: Documents whose language is less certain than this go.
 LEAST_SCORE = 0.5
+#: Pieces of text a worker's memo holds, twice; fewer than in op5, since the executors have run four other stages.
+MEMO_PIECES = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -58,7 +60,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left; a row for each piece."""
-    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_sequences(docs, vocabulary("byte_bpe_50k.json"), memo_pieces=MEMO_PIECES)
 
 
 STAGES = [

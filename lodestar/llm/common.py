@@ -89,6 +89,19 @@ class Scratch:
             time.sleep(0.2)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What operator ``owner`` keeps in this process from task to task.
+
+    Workers outlive tasks and serve one operator after the other, so what the others kept goes; objects in use live on.
+    """
+    for name in [n for n in _KEPT if n != owner]:
+        del _KEPT[name]
+    return _KEPT.setdefault(owner, {})
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

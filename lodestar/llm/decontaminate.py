@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash
+from lodestar.llm.common import kept, stash
 
 _BLANK = re.compile(r"\s+")
 
@@ -136,6 +136,7 @@ def _search(block, rate: float, least_chars: int):
     key = uuid.uuid4().hex
 
     def run(batches):
+        kept("decontaminate")
         for batch in batches:
             if key not in _MATCHER:
                 _MATCHER.clear()

@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import mix64, stash
+from lodestar.llm.common import kept, mix64, stash
 
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
+#: Rows predicted at once and words whose n-grams are looked up at once; they bound a worker's memory, not its results.
+_ROWS, _WORDS = 1024, 4096
 
 
 @cache
@@ -137,7 +139,8 @@ class Model:
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > before:
-            self.evidence = np.concatenate([self.evidence, self.of_words(list(islice(self.known, before, None)))])
+            new = list(islice(self.known, before, None))
+            self.evidence = np.concatenate([self.evidence, *(self.of_words(new[at : at + _WORDS]) for at in range(0, len(new), _WORDS))])
         return self.evidence[at]
 
     def predict(self, texts: list[str | None], chunk: int = 65_536) -> list[tuple[str, float]]:
@@ -192,6 +195,7 @@ def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
 
 def _count(max_n: int):
     def run(batches):
+        kept("language")
         by: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -235,8 +239,9 @@ def fit(docs: DataFrame, docs_per_lang: int = 600, max_n: int = 5, least: int =
 
 def _predict(model, text: int, drop: bool):
     def run(batches):
+        kept("language")
         m = model.value
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             got = m.predict(batch.column(text).to_pylist())
             n = batch.num_columns - drop
             cols = [*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, components, mix64, texts_as_bytes, word_hashes
+from lodestar.llm.common import Scratch, components, kept, mix64, texts_as_bytes, word_hashes
 
 _SIGMA = np.uint64(0x6A09E667F3BCC909)
 
@@ -79,6 +79,7 @@ def _sketcher(width: int, bands: int, rows: int, chunk: int = 32_768):
             yield k, b
 
     def run(batches):
+        kept("minhash")
         for batch in batches:
             ids, texts = batch.column(0), texts_as_bytes(batch.column(1))
             n = len(texts)
@@ -107,6 +108,7 @@ def _sketcher(width: int, bands: int, rows: int, chunk: int = 32_768):
 
 def _set_maker(width: int):
     def run(batches):
+        kept("minhash")
         for batch in batches:
             sets = [shingle_set(t, width).view(np.int64) for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])

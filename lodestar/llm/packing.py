@@ -86,11 +86,11 @@ def best_two_fit(lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarray,
     return bin_of, offset, bins
 
 
-def _pieces(path: str, size: int, end_id: int):
+def _pieces(path: str, size: int, end_id: int, memo_pieces: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, memo_pieces)
         for batch in batches:
             ids, rows, key = batch.column(0).to_pylist(), [], batch.column(2).to_pylist()
             for i, t, g in zip(ids, texts_as_bytes(batch.column(1)), key, strict=True):
@@ -107,8 +107,11 @@ def _pieces(path: str, size: int, end_id: int):
     return run
 
 
-def pack_sequences(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, group_docs: int = 16_384) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row a piece."""
+def pack_sequences(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, group_docs: int = 16_384, memo_pieces: int = 600_000) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row a piece.
+
+    A worker remembers the ids of up to twice ``memo_pieces`` pieces of text, which changes its memory and time only.
+    """
     groups = max(1, round(docs.count() / group_docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
@@ -119,7 +122,7 @@ def pack_sequences(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
         return pdf.drop(columns="group").assign(sequence_id=seq + (int(key[0]) << 40), offset=offset)
 
     with Scratch() as work:
-        pieces = work.stash(keyed.mapInArrow(_pieces(vocabulary, size, end_id), f"{columns}, group long"), "pieces")
+        pieces = work.stash(keyed.mapInArrow(_pieces(vocabulary, size, end_id, memo_pieces), f"{columns}, group long"), "pieces")
         short = pieces.where(F.col("length") < size).groupBy("group").applyInPandas(pack, f"{columns}, sequence_id long, offset long")
         full = pieces.where(F.col("length") == size).drop("group").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
         return work.result(short.union(full))

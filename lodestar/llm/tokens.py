@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from lodestar.llm.common import kept
+
 #: White space as Unicode has it; Python's ``\s`` also takes U+001C to U+001F, which the tokenizers' pattern does not.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -104,11 +106,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder a process and file, so that the memo outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo_pieces: int = 600_000) -> Encoder:
+    """One encoder a process and file, so that the memo outlives a task, until a task of another operator comes."""
+    held = kept("tokens")
+    if (path, memo_pieces) not in held:
+        held[path, memo_pieces] = Encoder(path, memo_pieces)
+    return held[path, memo_pieces]

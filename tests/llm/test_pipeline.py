@@ -1,10 +1,18 @@
 """The pipeline's stages, each judged on its own input."""
 
+import gc
+import tracemalloc
+import weakref
+
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp  # noqa: E402
+from lodestar.llm import decontaminate, language, minhash, tokens  # noqa: E402
+from lodestar.llm.queries import vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -44,3 +52,49 @@ def test_run(spark, sf):
     out = cp.run(spark, sf).toPandas()
     source = {r["doc_id"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
     assert 0.5 * len(source) < out.doc_id.nunique() <= len(source) and set(out.doc_id) <= source
+
+
+# --- memory of the workers, which serve one stage after the other
+
+
+class Sent:
+    """Stands for a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def model():
+    keys = np.unique(language.word_keys(["the", "und", "les"]))
+    return language.Model(["de", "en", "fr", "nl"], {0: (keys, np.array([[4, 0, 0, 1], [0, 5, 0, 0], [0, 0, 3, 2]], float)), 2: (np.arange(9, dtype=np.uint64), np.ones((9, 4)))}, 5)
+
+
+def test_a_later_stage_lets_go_of_the_encoders_memo():
+    doc = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "the words of a text", "lang": "en"}])
+    texts = doc.select(["text", "lang"])
+    for name, run in (("predict", lambda: language._predict(Sent(model()), 1, False)([doc])), ("count", lambda: language._count(5)([texts])), ("sketch", lambda: minhash._sketcher(5, 4, 2)([doc])), ("sets", lambda: minhash._set_maker(5)([doc])), ("matches", lambda: decontaminate._search(Sent([(1, "an item of the benchmark")]), 0.05, 1)([doc]))):
+        memo = weakref.ref(tokens.encoder(vocabulary("byte_bpe_50k.json")))
+        assert memo().encode(b"the words of a text") and tokens.encoder(vocabulary("byte_bpe_50k.json")) is memo()
+        list(run())
+        gc.collect()
+        assert memo() is None, name
+
+
+def test_language_of_many_new_words_in_bounded_memory():
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}wordsofmanyletters{chr(97 + i // 17576 % 26)}" for i in range(60_000)]
+    m, other = model(), model()
+    tracemalloc.start()
+    got = m._evidence(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    assert np.array_equal(got, other.of_words(words))
+
+
+def test_language_returns_rows_in_small_batches():
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": None if i % 7 == 0 else f"the und {'les ' * (i % 5)}"} for i in range(5000)])
+    out = list(language._predict(Sent(model()), 1, False)([batch, batch.slice(0, 0), batch.slice(3, 1)]))
+    assert max(b.num_rows for b in out) <= 1024
+    rows = pa.Table.from_batches(out)
+    assert rows.column("doc_id").to_pylist() == [*range(5000), 3]
+    assert list(zip(*(rows.column(c).to_pylist()[:5000] for c in ("lang_pred", "score")), strict=True)) == model().predict(batch.column(1).to_pylist())
