@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed, stems
-from lodestar.sources.written import written
+from lodestar.sources.written import bucketed, open_bucketed, written
 
 BLOCK = 128
-#: Documents of a cell, whose best impact of each term is stored, and of a stretch within which postings are numbered.
-CELL, STRETCH = 64, 1 << 16
+#: Documents of a stretch, whose postings of a term are gathered at once.
+STRETCH = 1 << 16
+#: Words of the corpus for each bucket of the tables.
+BUCKET_WORDS = 20_000_000
 
 
 def idf(n: float, df: Column) -> Column:
@@ -36,46 +38,69 @@ def sequential_ids(df: DataFrame, order: str, out: str) -> DataFrame:
     return parts.join(base, "__p").withColumn(out, F.col("__base") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__p", "__base")
 
 
+#: Columns of the table of blocks; a block's arrays are read only where a query opens it.
+PACKED = "term string, part long, block long, df long, count int, min_docid long, max_docid long, max_impact double, docids array<long>, tfs array<long>, dls array<long>, impacts array<double>"
+TERMS = "term string, df long, num_blocks long, max_impact double"
+#: How the two tables are dealt and sorted. A part is ``PART`` blocks of a term, so that no bucket holds a common term whole.
+PART = 1024
+LAYOUT = {"packed": (("term", "part"), ("term", "part", "block")), "terms": (("term",), ("term",))}
+
+
 @dataclass
 class Index:
-    """docs(docid, external_id, doc_len), terms(term, df, num_blocks, max_impact), n, avg_dl, and of each term
+    """docs(docid, external_id, doc_len), n, avg_dl, and the tables ``PACKED`` and ``TERMS``, bucketed by term.
 
-    postings(term, docid, tf, dl, impact, block) and cells(term, cell, count, best), a cell being ``CELL`` docids.
+    A row of ``packed`` is a block of up to ``BLOCK`` postings of a term in docid order; a block that reaches over a
+    stretch of docids is two rows.
     """
 
     docs: DataFrame
     terms: DataFrame
-    postings: DataFrame
-    cells: DataFrame
+    packed: DataFrame
     n: int
     avg_dl: float
     k1: float = 0.9
     b: float = 0.4
     options: tuple[bool, bool] = (True, True)
+    buckets: int = 8
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(term, docid, tf, dl, impact, block)``: every block opened."""
+        return self.packed.select("term", "block", F.inline(F.arrays_zip("docids", "tfs", "dls", "impacts"))).select("term", F.col("docids").alias("docid"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"), F.col("impacts").alias("impact"), "block")
 
     @property
     def blocks(self) -> DataFrame:
-        return blocks(self.postings)
+        """Metadata of the blocks: ``(term, block, count, min_docid, max_docid, max_impact)``; no array is read."""
+        return self.packed.groupBy("term", "block").agg(F.sum("count").alias("count"), F.min("min_docid").alias("min_docid"), F.max("max_docid").alias("max_docid"), F.max("max_impact").alias("max_impact"))
 
     def stats(self, spark: SparkSession) -> DataFrame:
         return self.terms.agg(F.count("*").alias("term_count")).select(F.lit(self.n).cast("long").alias("doc_count"), "term_count", F.round(F.lit(self.avg_dl), 6).alias("avg_dl"))
 
     def find(self, term: str) -> DataFrame:
+        """Reads the one bucket that can hold the term."""
         return self.terms.where(F.col("term") == term)
 
+    def rescored(self, k1: float, b: float) -> Index:
+        """The same index by other parameters: impacts anew, nothing is analysed or written again."""
+        one = lambda tf, dl: term_score(idf(self.n, F.col("df")), tf, dl, self.avg_dl or 1.0, k1, b)
+        packed = self.packed.withColumn("impacts", F.zip_with("tfs", "dls", one)).withColumn("max_impact", F.array_max("impacts"))
+        best = packed.groupBy("term").agg(F.max("max_impact").alias("max_impact"))
+        return replace(self, packed=packed, terms=self.terms.drop("max_impact").join(best, "term"), k1=k1, b=b)
+
     def save(self, path: str) -> None:
-        """Postings are dealt and sorted by term, so that a lookup reads the row groups of its terms only."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "docid").write.parquet(f"{path}/postings")
-        self.cells.repartitionByRange("term").sortWithinPartitions("term", "cell").write.parquet(f"{path}/cells")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        for name, (keys, order) in LAYOUT.items():
+            bucketed(getattr(self, name), name, self.buckets, keys, order, f"{path}/{name}")
         self.docs.write.parquet(f"{path}/docs")
-        meta = self.docs.sparkSession.createDataFrame([(self.n, self.avg_dl, self.k1, self.b, *self.options)], "n long, avg_dl double, k1 double, b double, stop_words boolean, stem boolean")
+        meta = self.docs.sparkSession.createDataFrame([(self.n, self.avg_dl, self.k1, self.b, *self.options, self.buckets)], "n long, avg_dl double, k1 double, b double, stop_words boolean, stem boolean, buckets int")
         meta.write.parquet(f"{path}/meta")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
+        """A saved index, dealt as it was when it was written; nothing is moved or built."""
         m = spark.read.parquet(f"{path}/meta").first()
-        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/cells"), m.n, m.avg_dl, m.k1, m.b, (m.stop_words, m.stem))
+        packed, terms = (open_bucketed(spark, f"{path}/{name}", schema, name, m.buckets, *LAYOUT[name]) for name, schema in (("packed", PACKED), ("terms", TERMS)))
+        return Index(spark.read.parquet(f"{path}/docs"), terms, packed, m.n, m.avg_dl, m.k1, m.b, (m.stop_words, m.stem), m.buckets)
 
 
 def term_frequencies(docs: DataFrame, key: str, stop_words: bool = True, stem: bool = True) -> DataFrame:
@@ -92,8 +117,34 @@ def doc_lengths(docs: DataFrame, key: str, tf: DataFrame) -> DataFrame:
     return docs.select(key).join(n, key, "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
 
 
+def pack(tf: DataFrame, lengths: DataFrame, n: int, avg_dl: float, k1: float, b: float) -> DataFrame:
+    """``tf(docid, term, tf)``, ``lengths(docid, doc_len)`` -> rows of ``PACKED``.
+
+    Postings are gathered by (term, stretch of docids), at most ``STRETCH`` in a group, sorted there and cut into blocks;
+    how many postings of the term come before a stretch says where its first block begins.
+    """
+    stretch = F.floor(F.col("docid") / STRETCH).alias("stretch")
+    whole = Window.partitionBy("term")
+    counts = tf.groupBy("term", stretch).agg(F.count("*").alias("held"))
+    counts = counts.select("term", "stretch", (F.sum("held").over(whole.orderBy("stretch")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("df"))
+    rows = tf.join(lengths.select("docid", F.col("doc_len").alias("dl")), "docid").groupBy("term", stretch).agg(F.array_sort(F.collect_list(F.struct("docid", "tf", "dl"))).alias("p"))
+    rows = rows.join(counts, ["term", "stretch"])
+    first, last = F.floor(F.col("before") / BLOCK), F.floor((F.col("before") + F.size("p") - 1) / BLOCK)
+    cut = rows.select("term", "df", "before", "p", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("before"))
+    end = (F.col("block") + 1) * BLOCK - F.col("before")
+    cut = cut.select("term", "df", F.col("block").cast("long").alias("block"), F.slice("p", (begin + 1).cast("int"), (end - begin).cast("int")).alias("p"))
+    one = lambda x: term_score(idf(n, F.col("df")), x["tf"], x["dl"], avg_dl or 1.0, k1, b)
+    cut = cut.withColumn("impacts", F.transform("p", one))
+    at = lambda c: F.transform("p", lambda x: x[c])
+    return cut.select(
+        "term", F.floor(F.col("block") / PART).cast("long").alias("part"), "block", "df", F.size("p").alias("count"), F.col("p")[0]["docid"].alias("min_docid"),
+        F.element_at("p", -1)["docid"].alias("max_docid"), F.array_max("impacts").alias("max_impact"), at("docid").alias("docids"), at("tf").alias("tfs"), at("dl").alias("dls"), "impacts",
+    )
+
+
 def build(docs: DataFrame, k1: float = 0.9, b: float = 0.4, stop_words: bool = True, stem: bool = True, key: str = "doc_id") -> Index:
-    """An index of ``docs(doc_id, text)``, written as tables in the shared folder, postings in order of terms and docids.
+    """An index of ``docs(doc_id, text)``, written as bucketed tables in the shared folder.
 
     Docids are positions in doc_id order. Raises ValueError on an empty corpus.
     """
@@ -103,27 +154,10 @@ def build(docs: DataFrame, k1: float = 0.9, b: float = 0.4, stop_words: bool = T
     one = full.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")).first()
     if not one.n:
         raise ValueError("no documents to index")
-    avg = float(one.total) / one.n
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(full.select("docid", F.col("doc_len").alias("dl")), "docid")
-    impact = term_score(idf(one.n, F.col("df")), F.col("tf"), F.col("dl"), avg or 1.0, k1, b)
-    # a term's postings are numbered within stretches of docids, to which the stretches before are added
-    stretch = F.floor(F.col("docid") / STRETCH)
-    placed = scored.withColumn("stretch", stretch).withColumn("at", F.row_number().over(Window.partitionBy("term", "stretch").orderBy("docid")) - 1)
-    before = F.sum("held").over(Window.partitionBy("term").orderBy("stretch")) - F.col("held")
-    offsets = tf.groupBy("term", stretch.alias("stretch")).agg(F.count("*").alias("held")).withColumn("before", before).where("before > 0").select("term", "stretch", "before")
-    if one.n > STRETCH:
-        placed = placed.join(offsets, ["term", "stretch"], "left").withColumn("at", F.col("at") + F.coalesce("before", F.lit(0)))
-    postings = placed.select("term", "docid", "tf", "dl", impact.alias("impact"), F.floor(F.col("at") / BLOCK).cast("long").alias("block"))
-    postings = written(postings.repartitionByRange("term", "docid").sortWithinPartitions("term", "docid"), "postings")
-    cells = written(postings.groupBy("term", F.floor(F.col("docid") / CELL).alias("cell")).agg(F.count("*").alias("count"), F.max("impact").alias("best")), "cells")
-    terms = written(postings.groupBy("term").agg(F.count("*").alias("df"), (F.max("block") + 1).alias("num_blocks"), F.max("impact").alias("max_impact")), "terms")
-    return Index(full, terms, postings, cells, one.n, avg, k1, b, (stop_words, stem))
-
-
-def blocks(postings: DataFrame) -> DataFrame:
-    """Metadata of the blocks of 128 postings: ``(term, block, count, min_docid, max_docid, max_impact)``."""
-    return postings.groupBy("term", "block").agg(F.count("*").alias("count"), F.min("docid").alias("min_docid"), F.max("docid").alias("max_docid"), F.max("impact").alias("max_impact"))
+    avg, buckets = float(one.total) / one.n, max(8, min(4096, one.total // BUCKET_WORDS))
+    packed = bucketed(pack(tf, full, one.n, avg, k1, b), "packed", buckets, *LAYOUT["packed"])
+    terms = packed.groupBy("term").agg(F.sum("count").alias("df"), (F.max("block") + 1).alias("num_blocks"), F.max("max_impact").alias("max_impact"))
+    return Index(full, bucketed(terms, "terms", buckets, *LAYOUT["terms"]), packed, one.n, avg, k1, b, (stop_words, stem), buckets)
 
 
 def docid_gaps(postings: DataFrame) -> DataFrame:

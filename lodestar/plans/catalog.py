@@ -336,13 +336,56 @@ def _search(algorithm):
 for _name, _algorithm in (("bm25_daat_topk", "daat"), ("bm25_wand_topk", "wand"), ("bm25_bmw_topk", "block_max_wand")):
     query(_TOP, _name)(_search(_algorithm))
 
-@query(f"WITH {_IX} SELECT qid, count(DISTINCT docid // 64) AS cells, count(*) AS postings, true AS pruned_no_more FROM q JOIN post USING (term) GROUP BY qid")
+_SHIFT = "greatest(6, CAST(ceil(log2(CAST((SELECT n FROM st) * 128 AS DOUBLE) / max(df) OVER (PARTITION BY qid))) AS INTEGER))"
+_CELLS = f"""bl AS MATERIALIZED (SELECT term, block, min(docid) AS lo, max(docid) AS hi FROM post GROUP BY term, block),
+sh AS (SELECT qid, term, {_SHIFT} AS shift FROM q JOIN dfs USING (term)),
+cl AS (SELECT qid, count(DISTINCT c) AS cells FROM sh JOIN bl USING (term), unnest(range(lo >> shift, (hi >> shift) + 1)) AS u(c) GROUP BY qid)"""
+
+
+@query(f"WITH {_IX}, {_CELLS}, {sql.hits(K)} SELECT qid, cells, coalesce(kth, 0) AS kth FROM cl LEFT JOIN (SELECT qid, score AS kth FROM hits WHERE rank = {K}) USING (qid)")
 def pruning_work(spark, d):
-    """Cells and postings of each query, and whether pruning reads no more than these and never more than its threshold allows."""
+    """Cells of each query and the score that its top must reach; no threshold may lie above that, no live cell beside them."""
     work = search.pruned_stats(queries_of(spark, d), index_of(spark, d), K)
-    kth = run_of(spark, d).where(F.col("rank") == K).select("qid", "score")
-    fine = (F.col("cells_live") <= F.col("cells")) & (F.col("postings_live") <= F.col("postings")) & (F.col("theta") <= F.coalesce("score", F.lit(0.0)) + search.EDGE)
-    return work.join(kth, "qid", "left").select("qid", "cells", "postings", fine.alias("pruned_no_more"))
+    kth = run_of(spark, d).where(F.col("rank") == K).select("qid", F.col("score").alias("kth"))
+    out = work.join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)))
+    fine = (F.col("cells_live") <= F.col("cells")) & (F.col("theta") <= F.col("kth") + search.EDGE)
+    return out.select("qid", F.when(fine, F.col("cells")).alias("cells"), "kth")
+
+
+@query()
+def query_cost_measured(spark, d):
+    """Postings that each plan opened, counted by the plans themselves; tests hold the exhaustive one against SQL."""
+    return search.measured_work(queries_of(spark, d), index_of(spark, d), K)
+
+
+_SHORT = "queries AS (SELECT item_id AS qid, array_to_string(string_split_regex(text, '[ \\n]+')[2 : 5], ' ') AS text FROM benchmark)"
+
+
+def short_queries_of(spark, d):
+    """Four words of each benchmark item."""
+    return queries_of(spark, d).select("qid", F.array_join(F.slice(F.split("text", r"[ \n]+"), 2, 4), " ").alias("text"))
+
+
+@query(_TOP.replace(sql.QUERIES, _SHORT))
+def bm25_short_topk(spark, d):
+    return search.search(short_queries_of(spark, d), index_of(spark, d), K)
+
+
+@query()
+def query_cost_short(spark, d):
+    return search.measured_work(short_queries_of(spark, d), index_of(spark, d), K)
+
+
+@query(_TOP)
+def index_reopened(spark, d):
+    """The index is saved, opened again as another session would, and searched."""
+
+    def make():
+        path = scratch_path(spark, "index")
+        index_of(spark, d).save(path)
+        return path
+
+    return search.search(queries_of(spark, d), index.Index.open(spark, _once(spark, d, "saved index", make)), K)
 
 
 @query(f"WITH {_IX}, {sql.hits(K)} SELECT algorithm, (SELECT count(*) FROM hits) AS rows, CAST(0 AS BIGINT) AS differing FROM (VALUES ('wand'), ('block_max_wand')) AS t(algorithm)")
@@ -710,7 +753,7 @@ def _lexical(spark, d):
 
 def _channels(spark, d):
     def make():
-        hits = search.search(queries_of(spark, d), index_of(spark, d, **_SECOND), DEEP, "daat")
+        hits = search.search(queries_of(spark, d), index_of(spark, d).rescored(**_SECOND), DEEP, "daat")
         short = hits.select("qid", F.lit("short").alias("channel"), F.col("external_id").cast("long").alias("doc_id"), "score", "rank")
         return written(_lexical(spark, d).union(short), "channels")
 

@@ -33,7 +33,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, keys: tuple[str, ...], order: tuple[str, ...], path: str | None = None) -> DataFrame:
+    """``df`` as a table dealt into ``buckets`` by ``keys``, one sorted file each: a join on the keys does not move it."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    tidy = df.repartition(buckets, *keys).sortWithinPartitions(*order)
+    tidy.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(_table_name(name))
+    return spark.read.table(_NAMES[-1])
+
+
+_NAMES: list[str] = []
+
+
+def _table_name(name: str) -> str:
+    _NAMES.append(f"lodestar_{name}_{uuid.uuid4().hex}")
+    return _NAMES[-1]
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: str, name: str, buckets: int, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """A table that ``bucketed`` has written, also by another session: the catalog is told again how it is dealt."""
+    made = _table_name(name)
+    spark.sql(f"CREATE TABLE {made} ({schema}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.read.table(made)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes every table of this application; nothing that reads them may be in use."""
+    while _NAMES:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop()}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
