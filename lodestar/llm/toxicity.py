@@ -180,9 +180,9 @@ def _fit(docs: DataFrame, toxic: DataFrame, prior: float | None, confirmed: int,
         w = train([_places(at, np.asarray(s, np.int64)) for s in pdf["slots"]], length, pos, unl, values, prior)
         return pd.DataFrame({"w": [w]})
 
-    # the sample is bounded, so are the groups: all confirmed texts and a share of the others
+    # the sample is bounded, so are the groups: all confirmed texts and a share of the others; rows are written, so their numbers stay
     chosen_slots = F.array_intersect("slots", F.lit(at.tolist()).cast("array<int>")) if 0 < len(at) <= 20_000 else F.col("slots")
-    share = F.when(F.col("confirmed"), F.sequence(F.lit(0), F.lit(members - 1))).otherwise(F.array(F.pmod(F.xxhash64("slots"), F.lit(members)).cast("int")))
+    share = F.when(F.col("confirmed"), F.sequence(F.lit(0), F.lit(members - 1))).otherwise(F.array((F.monotonically_increasing_id() % members).cast("int")))
     dealt = rows.select("confirmed", chosen_slots.alias("slots"), "words", F.explode(share).alias("member"))
     found = np.array([r.w for r in dealt.groupBy("member").applyInPandas(member, "w array<double>").collect()])
     return Model(at, values, found[:, :-2], found[:, -2], found[:, -1], float(size.length))
