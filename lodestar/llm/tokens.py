@@ -27,7 +27,10 @@ _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?*$%&#|)]*)")
 
 
 class Encoder:
-    """Ids of whole texts by one vocabulary file of the tokenizers library; special strings are ordinary text."""
+    """Ids of whole texts by one vocabulary file of the tokenizers library, as its ``encode`` gives them without added ones.
+
+    A special string that stands in a text is one id, as in the library; what stands around it is encoded by itself.
+    """
 
     def __init__(self, path: str, memo_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,13 +40,18 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         pre, self.kind = spec["pre_tokenizer"], None  # an unknown kind of vocabulary is encoded text by text
         if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
             self.kind = "spaced"
         elif pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and spec["model"].get("end_of_word_suffix"):
             self.kind = "words"
+        added = spec.get("added_tokens") or []
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            self.kind = None  # such strings take in what stands around them
+        self.special = {t["content"].encode(): array("I", [t["id"]]).tobytes() for t in added}
+        by_length = sorted(self.special, key=len, reverse=True)
+        self.marked = re.compile(b"(" + b"|".join(map(re.escape, by_length)) + b")") if by_length else None
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         as_bytes = lambda c: level.pre_tokenize_str(c)[0][0]
         self.table = {c: as_bytes(chr(c)) for c in range(0xC0, 0x100)}
@@ -75,6 +83,15 @@ class Encoder:
             return b""
         if self.kind is None:
             return self.whole(text.decode())
+        if self.marked and self.marked.search(text):
+            parts = self.marked.split(text)  # texts and special strings by turns
+            return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: bytes) -> bytes:
+        """A text without special strings."""
+        if not text:
+            return b""
         if self.kind == "words":
             out, pieces = [], text.split()
         elif _RUN.search(text):

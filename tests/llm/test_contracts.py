@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 from lodestar.llm import decontaminate, embeddings, language, licenses, lines, minhash, packing, pii, substrings, token_files
 from lodestar.llm.queries import vocabulary
@@ -156,6 +157,18 @@ def test_memo_gives_the_ids_of_whole_texts(name, sf):
         assert enc.encode(t.encode()) == enc.whole(t), t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library_as_it_is(name):
+    """Against a tokenizer that nothing has touched, special strings included; one text passes 65,536 pieces."""
+    library, enc, rnd = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name), memo_pieces=50), random.Random(8)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<|endoftext|><|endoftext|>"]
+    texts = ODD + ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|> ", "x<|startoftext|>y\n<|endoftext|>  z"]
+    texts += ["".join(rnd.choice([*special, "a", "B c", " ", "\n", "it's", "É", "1 2", ","]) for _ in range(12)) for _ in range(300)]
+    texts.append(" ".join(rnd.choice(["word", "Other", "x1", "-"]) for _ in range(140_000)))
+    for t in texts:
+        assert np.frombuffer(enc.encode(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:200]
+
+
 def ids_of(enc, text, end):
     return np.append(np.frombuffer(enc.whole(text) if text else b"", "<u4"), end).astype("<u4")
 
