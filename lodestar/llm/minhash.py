@@ -127,10 +127,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _FITS = "least({0}, {1}) * 100 >= greatest({0}, {1}) * {2}"
 
 
-def _rest(rows: DataFrame, *key: str) -> DataFrame:
-    """``rows(key..., c)`` with ``few``: whether c is another than the most frequent component of its key."""
+def _rest(rows: DataFrame, work: Scratch, *key: str) -> DataFrame:
+    """Written ``rows(key..., c)`` with ``few``: whether c is another than the most frequent component of its key.
+
+    The most frequent ones are written before the join, so that adaptive execution can split the rows of a hot key.
+    """
     counts = rows.groupBy(*key, "c").agg(F.count("*").alias("n"))
-    most = counts.groupBy(*key).agg(F.max(F.struct("n", "c"))["c"].alias("most"))
+    most = work.stash(counts.groupBy(*key).agg(F.max(F.struct("n", "c"))["c"].alias("most")), "most")
     return rows.join(most, [*key]).withColumn("few", F.col("c") != F.col("most")).drop("most")
 
 
@@ -157,13 +160,15 @@ def _across(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int,
     need = F.greatest(F.lit(1), F.ceil(F.col("nx") * percent / 100) - (F.col("nx") - F.col("na")))
     order = Window.partitionBy("a", "doc_id").orderBy("f", "e")
     ranked = rows.join(often, ["a", "e"]).withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("na") - need + 1) & (F.col("lo") < F.col("hi")))
-    prefix = stash(_rest(ranked.select("a", "e", "doc_id", "c", "nx"), "a", "e"), "prefix")
+    ranked = stash(ranked.select("a", "e", "doc_id", "c", "nx"), "ranked")
+    prefix = stash(_rest(ranked, work, "a", "e"), "prefix")
+    work.drop(ranked)
     x, y = prefix.where("few").alias("x"), prefix.alias("y")
     share = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c"))).where(_FITS.format("x.nx", "y.nx", percent))
     share = share.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
     shape = ["bucket", "nx", "na", "nr"]
-    shaped = stash(_rest(open_, "bucket").join(delta.select("a", "doc_id", "nx", "na", "nr"), ["a", "doc_id"]).select(*shape, "doc_id", "c", "few"), "shaped")
+    shaped = stash(_rest(open_, work, "bucket").join(delta.select("a", "doc_id", "nx", "na", "nr"), ["a", "doc_id"]).select(*shape, "doc_id", "c", "few"), "shaped")
     kinds = lambda rows: rows.groupBy(*shape).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     p, q = (rows.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("nx", "na", "nr", "lo", "hi"))) for i, rows in ((1, stash(kinds(shaped.where("few")), "shapes")), (2, stash(kinds(shaped), "shapes"))))
     apart = (F.col("na1") + F.col("na2") + F.abs(F.col("nr1") - F.col("nr2"))) * (100 + percent) <= (F.col("nx1") + F.col("nx2")) * (100 - percent)
