@@ -69,9 +69,12 @@ def daat(queries: DataFrame, index: Index, k: int, work: Work | None = None) ->
 
 
 def _gridded(terms: DataFrame, index: Index) -> DataFrame:
-    """Adds ``shift``: a query's cells are ``2**shift`` docids wide, about what a block of its most frequent term spans."""
+    """Writes the queries' words, so that they are stemmed once, with ``shift``: a query's cells are ``2**shift`` docids wide,
+
+    about what a block of its most frequent term spans.
+    """
     span = F.lit(float(index.n * BLOCK)) / F.max("df").over(Window.partitionBy("qid"))
-    return terms.withColumn("shift", F.greatest(F.lit(6), F.ceil(F.log2(span)).cast("int")))
+    return written(terms.withColumn("shift", F.greatest(F.lit(6), F.ceil(F.log2(span)).cast("int"))), "terms")
 
 
 def _cell(docid: str) -> Column:
