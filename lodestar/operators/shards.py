@@ -56,18 +56,17 @@ def regrouped(index: Index, group: Column, name: str, kind: str = "string") -> D
     return impacts(frequencies, docs.groupBy(name).agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")), name, index.k1, index.b)
 
 
-def scatter_gather(queries: DataFrame, postings: DataFrame, group: str, k: int, deleted: DataFrame | None = None, extra: int = 0, stem: bool = True) -> DataFrame:
+def scatter_gather(queries: DataFrame, postings: DataFrame, group: str, k: int, deleted: DataFrame | None = None, stem: bool = True) -> DataFrame:
     """Top k of each group, then of all: by score alone, ties in group order and then in the group's own order.
 
-    With ``deleted(doc_id)`` each group gives ``extra`` rows more before deleted documents are taken out.
+    Documents of ``deleted(doc_id)`` are taken out before the groups are cut, so that each group gives its k best of the
+    others; the statistics still count them, as those of a segment do until it is merged.
     """
     terms = analyzed(queries, "qid", stem=stem).select("qid", "term").distinct()
     s = terms.join(postings, "term").groupBy("qid", group, "doc_id").agg(F.round(F.sum("impact"), 6).alias("score"))
-    w = Window.partitionBy("qid", group).orderBy(F.desc("score"), "doc_id")
-    local = s.withColumn("local_rank", F.row_number().over(w)).where(F.col("local_rank") <= k + extra)
     if deleted is not None:
-        local = local.join(deleted.select("doc_id"), "doc_id", "left_anti")
+        s = s.join(deleted.select("doc_id"), "doc_id", "left_anti")
+    w = Window.partitionBy("qid", group).orderBy(F.desc("score"), "doc_id")
+    local = s.withColumn("local_rank", F.row_number().over(w)).where(F.col("local_rank") <= k)
     top = Window.partitionBy("qid").orderBy(F.desc("score"), group, "local_rank")
     return local.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("qid", "doc_id", group, "score", "rank")
-
-

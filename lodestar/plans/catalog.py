@@ -1038,8 +1038,29 @@ def segment_topk(spark, d):
 
 @query(_grouped("CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INTEGER)", "segment_id", "(SELECT doc_id FROM labels WHERE toxic = 1)", "(SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1)"))
 def tombstone_search(spark, d):
-    gone = tombstones_of(spark, d)
-    return shards.scatter_gather(queries_of(spark, d), segments_of(spark, d), "segment_id", K, gone, gone.count())
+    return shards.scatter_gather(queries_of(spark, d), segments_of(spark, d), "segment_id", K, tombstones_of(spark, d))
+
+
+#: Documents of a segment of the streamed store; merges go on until one is left, so the rows do not depend on the batches.
+STREAMED = 500
+
+
+@query(f"""WITH {_IX} SELECT qid, CAST(doc_id AS VARCHAR) AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank
+FROM (SELECT qid, doc_id, round(sum(impact), 6) AS score FROM q JOIN post USING (term) JOIN ids USING (docid) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY qid, doc_id)) WHERE rank <= {K}""")
+def stream_search(spark, d):
+    """The documents come as a stream into a store of segments, toxic ones are deleted, segments merged, and the rest searched."""
+
+    def make():
+        path = scratch_path(spark, "store")
+        store = nrt.SegmentStore(spark, f"{path}/segments", flush_threshold=STREAMED, merge_factor=16, max_segments=1)
+        source = table(spark, d, "documents").schema
+        # a pattern, since a stream takes a single file only by one
+        stream = spark.readStream.schema(source).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")
+        store.attach(stream.select("doc_id", "text"), f"{path}/checkpoint").awaitTermination()
+        store.delete_rows(tombstones_of(spark, d))
+        return store
+
+    return _once(spark, d, "stream", make).search(queries_of(spark, d), K).drop("segment_id")
 
 
 @query("WITH s AS (SELECT CAST(doc_id % 11 AS INTEGER) AS position, count(*) AS doc_count FROM documents GROUP BY 1) SELECT position, doc_count FROM s QUALIFY count(*) OVER () > 8 AND row_number() OVER (ORDER BY doc_count, position) <= 4")
