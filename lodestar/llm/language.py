@@ -9,8 +9,8 @@ The model is fitted on a bounded sample of labelled rows: the ``docs_per_lang``
 hash of (doc_id, text), whose whole texts train. What bounds the model is that number of rows alone: every word and
 every n-gram that the sample holds ``least`` times is known. The sample is found without moving texts: distinct rows of
 each language are counted, which gives a hash below which several times the sample lies, and only rows below it are
-ranked. Rows count as the same if language, doc_id and text are. Keys are 64-bit hashes in sorted arrays, so a worker
-holds some bytes a key.
+ranked. Rows count as the same if language, doc_id and text are. Keys are 64-bit hashes in sorted arrays with an entry for
+each language that holds the key, so driver and workers hold some bytes a key however many languages there are.
 
 Defined results: null text and text without a letter (``str.isalpha``) are ``und`` with score 0; rows without a language
 or a text never train; if no row is labelled every prediction is ``und``; rows that repeat a doc_id are predicted one by
@@ -76,13 +76,49 @@ def gram_keys(words: list[str], max_n: int):
     return ends - sizes, np.repeat(ends, sizes), keys
 
 
+class Table:
+    """Evidence of words or of n-grams of one length, a sparse row a key: only languages that hold the key have an entry.
+
+    An entry of language l is log((m + add) / (total of l + add * keys)), a row is centred, as only differences between
+    languages matter. Where m is 0 this is the same for every key, so a row is that vector, plus log((m + add) / add) where
+    m is not 0, less the mean of these.
+    """
+
+    def __init__(self, keys: np.ndarray, starts: np.ndarray, langs: np.ndarray, times: np.ndarray, n_langs: int, add: float, worth: float):
+        """``keys`` in any order; ``langs`` and ``times`` of key i stand from ``starts[i]`` to ``starts[i + 1]``."""
+        totals = np.bincount(langs, weights=times, minlength=n_langs)
+        base = np.log(add / (totals + add * len(keys)))
+        self.base = ((base - base.mean()) * worth).astype(np.float32)
+        order = np.argsort(keys)
+        sizes = np.diff(starts)[order]
+        self.keys, self.starts = keys[order], np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(starts[:-1][order] - self.starts[:-1], sizes) + np.arange(self.starts[-1])
+        self.langs, self.more = langs[at].astype(np.uint16), (np.log((times[at] + add) / add) * worth).astype(np.float32)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Evidence of the keys at places ``at``, float32 by language."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        row = np.repeat(np.arange(len(at)), sizes)
+        place = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))
+        more = np.zeros((len(at), len(self.base)), np.float32)
+        more[row, self.langs[place]] = self.more[place]
+        return self.base + more - more.mean(axis=1, keepdims=True)
+
+
+def sparse(keys: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a ``Table`` takes of a matrix of counts, keys by languages."""
+    row, lang = np.nonzero(m)
+    return keys, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(keys)))]), lang, m[row, lang]
+
+
 class Model:
     """Evidence by word and by n-gram of each length; ``langs`` are the columns."""
 
-    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray]], max_n: int, discount: float = 0.4, tempered: int = 20, memo: int = 100_000):
-        """``counts[n]``: sorted keys and counts by language, of words for n = 0 and of n-grams else."""
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], max_n: int, discount: float = 0.4, tempered: int = 20, memo: int = 100_000):
+        """``counts[n]``: what a ``Table`` takes, or keys and a matrix, of words for n = 0 and of n-grams else."""
+        counts = {n: sparse(*c) if len(c) == 2 else c for n, c in counts.items()}
         self.langs, self.max_n, self.tempered, self.memo = langs, max_n, tempered, memo
-        self.tables = {n: (keys, self._logs(m, 0.5 if n else 1.0) * np.float32(discount ** (max_n - n) if n else 1.0)) for n, (keys, m) in counts.items() if len(keys)}
+        self.tables = {n: Table(*c, len(langs), 0.5 if n else 1.0, discount ** (max_n - n) if n else 1.0) for n, c in counts.items() if len(c[0])}
         self._forget()
 
     def _forget(self) -> None:
@@ -97,16 +133,11 @@ class Model:
         self.__dict__.update(state)
         self._forget()
 
-    @staticmethod
-    def _logs(m: np.ndarray, add: float) -> np.ndarray:
-        logs = np.log((m + add) / (m.sum(axis=0) + add * len(m)))
-        return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)  # only differences between languages matter
-
     def _find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``keys`` are known, and the rows of these."""
         if n not in self.tables:
             return np.zeros(len(keys), bool), np.zeros(0, np.int64)
-        have = self.tables[n][0]
+        have = self.tables[n].keys
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         hit = have[at] == keys
         return hit, at[hit]
@@ -116,7 +147,7 @@ class Model:
         out = np.zeros((len(words), len(self.langs)), np.float32)
         hit, rows = self._find(0, word_keys(words))
         if len(rows):
-            out[hit] = self.tables[0][1][rows]
+            out[hit] = self.tables[0].rows(rows)
         if not (new := np.flatnonzero(~hit)).size:
             return out
         starts, ends, keys = gram_keys([words[i] for i in new], self.max_n)
@@ -126,7 +157,7 @@ class Model:
             at = left[left + n <= ends[left]]
             got, rows = self._find(n, keys(n, at))
             if len(rows):
-                total[at[got]] = self.tables[n][1][rows]
+                total[at[got]] = self.tables[n].rows(rows)
                 met[at[got]] = 1
                 left = np.flatnonzero(met == 0)
         out[new] = np.add.reduceat(total, starts) / np.maximum(1, np.add.reduceat(met, starts))[:, None]
@@ -193,7 +224,7 @@ def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
     return some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang).select("text", "lang")
 
 
-def _count(max_n: int):
+def _count(max_n: int, place: dict[str, int]):
     def run(batches):
         kept("language")
         by: dict[str, Counter] = defaultdict(Counter)
@@ -202,7 +233,7 @@ def _count(max_n: int):
                 by[lang].update(words_of(t))
         for lang, counter in by.items():
             words, k = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-            if not words:
+            if not words or lang not in place:
                 continue
             _, ends, keys = gram_keys(words, max_n)
             times = np.repeat(k, [len(w) + 2 for w in words])
@@ -211,29 +242,28 @@ def _count(max_n: int):
                 at = every[every + n <= ends]
                 key, of = np.unique(keys(n, at) if n else word_keys(words), return_inverse=True)
                 sums = np.bincount(of, weights=times[at] if n else k).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * len(key)), pa.array(sums)], ["n", "key", "lang", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), place[lang], np.int32)), pa.array(sums)], ["n", "key", "lang", "times"])
 
     return run
 
 
 def fit(docs: DataFrame, docs_per_lang: int = 600, max_n: int = 5, least: int = 2) -> Model:
-    """A model from ``docs(doc_id, text, lang)``; a word or n-gram is known from ``least`` times in the sample on."""
+    """A model from ``docs(doc_id, text, lang)``; a word or n-gram is known from ``least`` times in the sample on.
+
+    What is too rare goes on the executors; the driver gets a key once, with the languages that hold it.
+    """
     rows = stash(sample(docs, docs_per_lang), "sample")
-    counts = rows.mapInArrow(_count(max_n), "n int, key long, lang string, times long").groupBy("n", "key", "lang").agg(F.sum("times").alias("times"))
-    got = counts.toArrow()  # bounded by the sample
-    lang = got.column("lang").combine_chunks().dictionary_encode()
-    langs = sorted(lang.dictionary.to_pylist())
-    column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if langs else np.zeros(0, np.int64)
-    n, key, times = (got.column(c).to_numpy() for c in ("n", "key", "times"))
-    tables = {}
-    for size in range(max_n + 1):
-        own = n == size
-        keys, row = np.unique(key[own].view(np.uint64), return_inverse=True)
-        m = np.zeros((len(keys), len(langs)))
-        np.add.at(m, (row, column[own]), times[own])
-        # a word met once says little about an unseen text: it backs off to its n-grams
-        enough = m.sum(axis=1) >= least
-        tables[size] = (keys[enough], m[enough])
+    langs = sorted(r.lang for r in rows.where(F.col("text").rlike(r"\p{L}")).select("lang").distinct().collect())
+    counts = rows.mapInArrow(_count(max_n, {lang: i for i, lang in enumerate(langs)}), "n int, key long, lang int, times long").groupBy("n", "key", "lang").agg(F.sum("times").alias("times"))
+    # a word met once says little about an unseen text: it backs off to its n-grams
+    known = counts.groupBy("n", "key").agg(F.collect_list(F.struct("lang", "times")).alias("x"), F.sum("times").alias("all")).where(F.col("all") >= least)
+    known, tables = stash(known, "known"), {}
+    for size in range(max_n + 1):  # one length at a time, bounded by the sample
+        own = known.where(F.col("n") == size).select("key", F.transform("x", lambda x: x["lang"].cast("smallint")).alias("langs"), F.transform("x", lambda x: x["times"].cast("int")).alias("times")).toArrow()
+        lists = own.column("langs").combine_chunks()
+        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+        flat = lambda c: own.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        tables[size] = (own.column("key").to_numpy().view(np.uint64), starts, flat("langs").astype(np.int64), flat("times"))
     return Model(langs, tables, max_n)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import codes, common, toxicity, tries
+from lodestar.llm import codes, common, language, toxicity, tries
 
 # --- codes
 
@@ -193,3 +193,34 @@ def test_sample_is_bounded(spark):
     rows = talk(2000)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     assert 100 < toxicity._drawn(docs, 200).count() < 320 and toxicity._drawn(docs, 2000).count() == 2000
+
+
+# --- languages
+
+
+def test_a_hundred_languages_take_some_bytes_a_key(spark):
+    rnd = random.Random(6)
+    rows = []
+    for lang in range(100):
+        sounds = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäöüñéèø") for _ in range(3)) for _ in range(12)]
+        word = lambda s=sounds: "".join(rnd.choice(s) for _ in range(rnd.randint(1, 3)))
+        rows += [(lang * 100 + i, " ".join(word() for _ in range(60)), f"l{lang:03}") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = language.fit(docs.where("doc_id % 5 <> 0"))
+    keys = sum(len(t.keys) for t in model.tables.values())
+    size = sum(x.nbytes for t in model.tables.values() for x in (t.keys, t.starts, t.langs, t.more, t.base))
+    assert len(model.langs) == 100 and keys > 50_000 and size < 40 * keys  # a dense row of float64 alone has 800 bytes
+    got = language.predict(docs.where("doc_id % 5 = 0"), model, "lang").collect()
+    assert len(got) == 300 and sum(r.lang == r.lang_pred for r in got) >= 297
+
+
+def test_sparse_rows_are_those_of_the_dense_formula():
+    rnd = np.random.default_rng(2)
+    m = rnd.integers(0, 5, (40, 7)) * (rnd.random((40, 7)) < 0.4)
+    m[m.sum(1) == 0, 0] = 1
+    keys = rnd.permutation(40).astype(np.uint64)
+    t = language.Table(*language.sparse(keys, m), 7, 0.5, 0.3)
+    logs = np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m)))
+    want = (logs - logs.mean(1, keepdims=True)) * 0.3
+    assert np.allclose(t.rows(np.arange(40)), want[np.argsort(keys)], atol=1e-6)
+    assert t.rows(np.zeros(0, np.int64)).shape == (0, 7)
