@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import dense
 from lodestar.operators.dense import dot, pseudo_random
+from lodestar.sources.written import written
 
 FEATURES = ("bm25", "dense", "doc_len")
 
@@ -82,18 +84,26 @@ class Mlp:
     def forward(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3][0]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 50, rate: float = 0.01) -> Mlp:
+    def gradient(self, x: np.ndarray, y: np.ndarray, n: int) -> list[np.ndarray]:
+        """What the rows x, y add to the gradient of the mean loss over n rows."""
+        h = np.maximum(x @ self.p[0] + self.p[1], 0)
+        e = (1 / (1 + np.exp(-(h @ self.p[2] + self.p[3][0]))) - y) / n
+        back = np.outer(e, self.p[2]) * (h > 0)
+        return [x.T @ back, back.sum(0), h.T @ e, np.array([e.sum()])]
+
+    def descend(self, gradients: Iterator[list[np.ndarray]], rate: float = 0.01) -> Mlp:
+        """A step of Adam for each gradient; each is asked for after the step before it."""
         m, v = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p]
-        for t in range(1, epochs + 1):
-            h = np.maximum(x @ self.p[0] + self.p[1], 0)
-            e = (1 / (1 + np.exp(-(h @ self.p[2] + self.p[3][0]))) - y) / len(x)
-            back = np.outer(e, self.p[2]) * (h > 0)
-            for i, g in enumerate((x.T @ back, back.sum(0), h.T @ e, np.array([e.sum()]))):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
+        for t, g in enumerate(gradients, 1):
+            for i, d in enumerate(g):
+                m[i] = 0.9 * m[i] + 0.1 * d
+                v[i] = 0.999 * v[i] + 0.001 * d * d
                 self.p[i] = self.p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 50, rate: float = 0.01) -> Mlp:
+        return self.descend((self.gradient(x, y, len(x)) for _ in range(epochs)), rate)
+
     def column(self, *features: Column) -> Column:
         """The network written out as an expression."""
         out = F.lit(float(self.p[3][0]))
@@ -105,11 +115,37 @@ class Mlp:
         return out
 
 
-def train(examples: DataFrame, seed: int = 0) -> tuple[dict, Mlp]:
-    """Scaler and network from examples with features and label; the example set is a few rows a query."""
-    scaler = fit_scaler(examples)
-    pdf = transform(examples, scaler).select(*(f"{f}_z" for f in FEATURES), "label").toPandas()
-    return scaler, Mlp(seed=seed).fit(pdf.iloc[:, :3].to_numpy(float), pdf["label"].to_numpy(float))
+def train(examples: DataFrame, seed: int = 0, epochs: int = 50, rate: float = 0.01) -> tuple[dict, Mlp]:
+    """Scaler and network from examples with features and label, by full-batch Adam.
+
+    The scaled examples are written once and stay with the executors. A step is one aggregation: every task adds up the
+    gradient of its rows, and the sum of these, a number for each weight, is all that reaches the driver.
+    """
+    scaler, spark, mlp = fit_scaler(examples), examples.sparkSession, Mlp(seed=seed)
+    rows = written(transform(examples, scaler).select(*(F.col(f"{f}_z").cast("double") for f in FEATURES), F.col("label").cast("double")), "examples")
+    n, shapes = rows.count(), [a.shape for a in mlp.p]
+    if not n:
+        return scaler, mlp
+    cuts = np.cumsum([a.size for a in mlp.p])[:-1]
+
+    def gradients() -> Iterator[list[np.ndarray]]:
+        for _ in range(epochs):
+            held = spark.sparkContext.broadcast(mlp)
+
+            def add(batches, held=held):
+                total = None
+                for b in batches:
+                    z = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
+                    g = np.concatenate([d.ravel() for d in held.value.gradient(z[:, :-1], z[:, -1], n)])
+                    total = g if total is None else total + g
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["g"])
+
+            got = rows.mapInArrow(add, "g array<double>").agg(*(F.sum(F.col("g")[i]) for i in range(sum(a.size for a in mlp.p)))).first()
+            held.unpersist()
+            yield [d.reshape(s) for d, s in zip(np.split(np.array(got, float), cuts), shapes, strict=True)]
+
+    return scaler, mlp.descend(gradients(), rate)
 
 
 def survivors(pairs: DataFrame, scaler: dict, mlp: Mlp, keep: int = 100) -> DataFrame:
@@ -159,17 +195,6 @@ def precision_scores(pairs: DataFrame, query_vectors: DataFrame, doc_vectors: Da
     return both.select("qid", "doc_id", F.explode(scores).alias("s")).select("s.precision", "qid", "doc_id", "s.score")
 
 
-def half_precision(df: DataFrame, column: str) -> DataFrame:
-    """Vectors rounded to 16-bit floats."""
-
-    def run(frames):
-        for pdf in frames:
-            pdf[column] = [np.asarray(v, np.float16).astype(np.float64) for v in pdf[column]]
-            yield pdf
-
-    return df.mapInPandas(run, df.schema)
-
-
 def request_pairs(queries: DataFrame, docs: DataFrame, n: int = 256) -> DataFrame:
     """n round-robin (query, document) pairs by position."""
     spark = queries.sparkSession
