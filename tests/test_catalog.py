@@ -7,7 +7,7 @@ import pytest
 
 from lodestar.plans.catalog import ORACLES, QUERIES
 
-SOME = ["load_qrels", "nested_qrels", "manifest_upsert", "tokenize", "possessive_strip", "porter_stem", "longest_token", "normalize_query", "doc_length", "dictionary", "docid_gaps", "bm25_daat_topk", "search_stats_daat", "trec_run_lines", "evaluate_means", "latency_percentiles", "open_loop_single_worker", "find_knee", "lru_hits", "hedged_latency", "exact_knn", "ivf_probe_fixed_centroids", "rrf", "training_examples", "merge_plan", "throughput_sweep", "miss_hit_ratio", "ann_recall", "indexing_lag", "pruning_work", "sharded_topk", "tombstone_search", "bm25_wand_topk", "bm25_bmw_topk"]
+SOME = ["load_qrels", "nested_qrels", "manifest_upsert", "tokenize", "possessive_strip", "porter_stem", "longest_token", "normalize_query", "doc_length", "dictionary", "docid_gaps", "bm25_daat_topk", "search_stats_daat", "trec_run_lines", "evaluate_means", "latency_percentiles", "open_loop_single_worker", "find_knee", "lru_hits", "hedged_latency", "exact_knn", "ivf_probe_fixed_centroids", "rrf", "training_examples", "merge_plan", "throughput_sweep", "miss_hit_ratio", "indexing_lag", "pruning_work", "sharded_topk", "tombstone_search", "bm25_wand_topk", "bm25_bmw_topk"]
 
 
 def plain(v):
