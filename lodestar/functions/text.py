@@ -5,7 +5,7 @@ Everything stays in the JVM. Stemming is an expression of many patterns, so ``st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,10 +22,15 @@ TOKEN = r"(?:[A-Za-z]++(?:'[A-Za-z]++)*+|[0-9]++(?:[.,][0-9]++)*+|[^\x00-\x7F]++
 MAX_TOKEN_BYTES = 255
 
 
+def _bounded(t: Column) -> Column:
+    """A token cut to 255 bytes, at a character."""
+    cut = F.regexp_replace(F.call_function("make_valid_utf8", F.substring(F.encode(t, "UTF-8"), 1, MAX_TOKEN_BYTES).cast("string")), "�+$", "")
+    return F.when(F.octet_length(t) <= MAX_TOKEN_BYTES, t).otherwise(cut)
+
+
 def tokenize(text: Column) -> Column:
     """Array of raw tokens, each cut to 255 bytes; what is beyond is dropped."""
-    cut = lambda t: F.regexp_replace(F.call_function("make_valid_utf8", F.substring(F.encode(t, "UTF-8"), 1, MAX_TOKEN_BYTES).cast("string")), "�+$", "")
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(F.octet_length(t) <= MAX_TOKEN_BYTES, t).otherwise(cut(t)))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _bounded)
 
 
 def strip_possessive(token: Column) -> Column:
@@ -162,3 +167,25 @@ def analyzed(df: DataFrame, key: str, text: str = "text", stop_words: bool = Tru
     if not stem:
         return rows
     return rows.join(stems(rows), "term").select(key, "pos", F.col("stem").alias("term"))
+
+
+def _as_sql(spark: SparkSession, make) -> str:
+    """The SQL text of an expression over a column ``w``."""
+    row = spark.range(1).select(F.lit("").alias("w"))
+    return row.select(make(F.col("w")).alias("o"))._jdf.queryExecution().analyzed().projectList().apply(0).child().sql()
+
+
+def register_analyze(spark: SparkSession, name: str = "analyze_text") -> None:
+    """A SQL table function ``name(text)`` of rows ``(pos, term)``: the same expressions, all in the JVM.
+
+    Each step of the stemmer maps the array of terms, so no step is written into the next one.
+    """
+    quoted = "'" + TOKEN.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    word = _as_sql(spark, lambda w: ascii_lower(strip_possessive(_bounded(w))))
+    terms = f"filter(transform(regexp_extract_all(text, {quoted}, 0), w -> {word}), w -> w <> '' AND NOT {_as_sql(spark, is_stop_word)})"
+    stem = f"transform({terms}, w -> named_struct('t', w, 'w', w))"
+    for n in range(9):
+        step = _as_sql(spark, lambda w, n=n: _step(w, n))
+        stem = f"transform({stem}, s -> named_struct('t', s.t, 'w', element_at(transform(array(s.w), w -> {step}), 1)))"
+    stem = f"transform({stem}, s -> CASE WHEN octet_length(s.t) <= 2 THEN s.t ELSE translate(s.w, 'Y', 'y') END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE (pos INT, term STRING) RETURN SELECT p.pos, p.term FROM posexplode({stem}) AS p(pos, term)")

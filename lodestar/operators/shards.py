@@ -49,13 +49,38 @@ def grouped_postings(docs: DataFrame, group: str, k1: float = 0.9, b: float = 0.
     return impacts(tf, sizes, group, k1, b)
 
 
-def regrouped(index: Index, group: Column, name: str, kind: str = "string") -> DataFrame:
+def regrouped(index: Index, group: Column, name: str, kind: str = "string", only: list[int] | None = None) -> DataFrame:
     """``(name, term, doc_id, impact)`` of an index dealt into groups by its docids: analysed once, statistics by group."""
     docs = index.docs.select("docid", F.col("external_id").cast(kind).alias("doc_id"), "doc_len").withColumn(name, group)
+    if only is not None:
+        docs = docs.where(F.col(name).isin(only))
     frequencies = index.postings.select("term", "docid", "tf", "dl").join(docs.select("docid", "doc_id", name), "docid").drop("docid")
     return impacts(frequencies, docs.groupBy(name).agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")), name, index.k1, index.b)
 
 
+#: A shard's folder holds this file once its rows are all there.
+_COMPLETE = "_COMPLETE"
+
+
+def build_shards(index: Index, n: int, path: str, kind: str = "string") -> DataFrame:
+    """``(shard, term, doc_id, impact)`` of an index dealt into ``n`` contiguous shards, stored under ``path``.
+
+    Shards that are complete stay as they are; those that are not are written anew, and only they. A shard without a
+    posting has a folder with nothing but the mark.
+    """
+    spark = index.docs.sparkSession
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = lambda i: to(f"{path}/shard={i}/{_COMPLETE}")
+    missing = [i for i in range(n) if not fs.exists(mark(i))]
+    if missing:
+        rows = regrouped(index, shard_of(F.col("docid"), index.n, n), "shard", kind, missing)
+        rows.repartition("shard", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("shard", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        for i in missing:
+            fs.create(mark(i), True).close()
+    return spark.read.schema(f"term string, doc_id {kind}, impact double, shard int").parquet(path)
+
+
 def scatter_gather(queries: DataFrame, postings: DataFrame, group: str, k: int, deleted: DataFrame | None = None, stem: bool = True) -> DataFrame:
     """Top k of each group, then of all: by score alone, ties in group order and then in the group's own order.
 

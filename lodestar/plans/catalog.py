@@ -235,6 +235,14 @@ def analyze_full(spark, d):
     return tx.analyzed(documents(spark, d), "doc_id")
 
 
+@query(f"WITH {sql.analyzed('dt', 'documents', 'doc_id')} SELECT doc_id, pos, term FROM dt")
+def analyze_sql(spark, d):
+    """The same from SQL alone, by the table function ``analyze_text``."""
+    tx.register_analyze(spark)
+    documents(spark, d).createOrReplaceTempView("lodestar_documents")
+    return spark.sql("SELECT doc_id, a.pos, a.term FROM lodestar_documents, LATERAL analyze_text(text) AS a")
+
+
 @query(f"SELECT conv_id, turn, trim(regexp_replace({sql.FOLD.format('text')}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || '|10' AS key FROM conversations")
 def normalize_query(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.cache_key(F.col("text"), 10).alias("key"))
@@ -545,9 +553,8 @@ SELECT qid, doc_id, {group}, score, rank FROM (SELECT *, row_number() OVER (PART
 
 @query(_grouped("CAST(ntile(4) OVER (ORDER BY doc_id) - 1 AS INTEGER)", "shard"))
 def sharded_topk(spark, d):
-    ix = index_of(spark, d)
-    p = _once(spark, d, "shards", lambda: written(shards.regrouped(ix, shards.shard_of(F.col("docid"), ix.n, 4), "shard", "long"), "shards"))
-    return shards.scatter_gather(queries_of(spark, d), p, "shard", K)
+    ix, path = index_of(spark, d), _once(spark, d, "shards", lambda: scratch_path(spark, "shards"))
+    return shards.scatter_gather(queries_of(spark, d), shards.build_shards(ix, 4, path, "long"), "shard", K)
 
 
 _LAT = "lat AS (SELECT event_id // 4 AS request, event_id % 4 AS shard, round(abs(value) % CAST(50 AS DOUBLE), 6) AS primary_, round(abs(value) * 7 % CAST(50 AS DOUBLE), 6) AS replica FROM events)"
