@@ -57,6 +57,14 @@ def open_bucketed(spark: SparkSession, path: str, schema: str, name: str, bucket
     return spark.read.table(made)
 
 
+def size_of(table: DataFrame) -> tuple[int, int]:
+    """``(files, bytes)`` of a table that is read from files."""
+    spark = table.sparkSession
+    to, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [to(f) for f in table.inputFiles()]
+    return len(paths), sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes every table of this application; nothing that reads them may be in use."""
     while _NAMES:
