@@ -83,7 +83,7 @@ class Encoder:
             return b""
         if self.kind is None:
             return self.whole(text.decode())
-        if self.marked and self.marked.search(text):
+        if any(map(text.__contains__, self.special)):
             parts = self.marked.split(text)  # texts and special strings by turns
             return b"".join(self.special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
         return self._plain(text)
