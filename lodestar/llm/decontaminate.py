@@ -11,7 +11,9 @@ at a time; a block is broadcast and searched for in one scan of the documents, w
 block is formed, so a benchmark of b blocks costs b scans. Defined results: null or blank texts and items meet nothing;
 items that are equal once normalised are each reported; rows that repeat a doc_id are each searched; of meetings of equal
 distance the one that ends first is reported. An item of a few characters has k = 0 and meets every document that holds
-them: give ``least_chars`` to leave out items that are shorter once normalised. Other columns are ignored.
+them: give ``least_chars`` to leave out items that are shorter once normalised. A null doc_id or item_id is carried
+into its rows. Very long texts are searched whole; Myers' recurrence runs over stretches around hits alone. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ class Matcher:
                     best = (got[0], lo + got[1])
             if best:
                 out.append((item_id, *best))
-        return sorted(out)
+        return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
 
 
 #: The matcher of the block at work, so that a process builds it once.

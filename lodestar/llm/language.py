@@ -14,7 +14,7 @@ each language that holds the key, so driver and workers hold some bytes a key ho
 
 Defined results: null text and text without a letter (``str.isalpha``) are ``und`` with score 0; rows without a language
 or a text never train; if no row is labelled every prediction is ``und``; rows that repeat a doc_id are predicted one by
-one; equal scores go to the language that sorts first. Other columns are ignored.
+one, so are rows with a null doc_id, which always may train; very long texts are read whole, some thousand words at a time; equal scores go to the language that sorts first. Other columns are ignored.
 """
 
 from __future__ import annotations

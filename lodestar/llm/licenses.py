@@ -9,7 +9,8 @@ words), and the span from the first to the last of them in code points. Reported
 
 The templates given here are notices and the short licenses as a whole; ``read_templates`` adds whole texts from a folder
 of files. Defined results: null or empty text has no match; rows that repeat a doc_id are each scanned; of notices that
-overlap, the one with most matched words is reported. Other columns are ignored.
+overlap, the one with most matched words is reported; a null doc_id is carried. Very long texts are scanned whole, and
+only stretches around candidates are aligned. Other columns are ignored.
 """
 
 from __future__ import annotations

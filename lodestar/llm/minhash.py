@@ -12,7 +12,8 @@ the largest component of the bucket, so the pairs inside that component are neve
 
 Defined results: null, empty or all-blank text has 0 shingles and links with nothing; fewer words than a shingle make
 one shingle of all of them; rows that repeat a doc_id are one document; a row with null doc_id comes back with null
-component and kept true. Other columns of the input are ignored.
+component and kept true. Very long texts are read whole: a task holds the shingles of one text, 8 bytes each, and
+several such texts one after the other. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ finds the same ones. A bin is filled greedily with the longest piece that fits;
 helps, its smallest piece gives way to the two unpacked pieces that fill the widened gap best.
 
 Defined results: null and empty text are the end id alone; rows that repeat a doc_id are packed one by one; a null
-doc_id is carried. Other columns are ignored.
+doc_id is carried. Very long texts are encoded whole and cut into full pieces, which need no packing; a task holds the
+ids of one text. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ trained on the posteriors alone decides on the candidates that are not base span
 
 Patterns are rewritten from the contract's so that no input makes them backtrack or recurse without bound; the matches
 are the same. Offsets come from running sums in blocks, so that many matches in one text cost little more each. Offsets
-are code points, ends exclusive. Defined results: null text is empty; rows that repeat a doc_id are scanned one by one; no
+are code points, ends exclusive. Defined results: null text is empty; rows that repeat a doc_id are scanned one by one; a null
+doc_id is carried; very long texts are scanned whole, as one value of a column; no
 candidates at all leave the classifier at its prior. Other columns are ignored.
 """
 

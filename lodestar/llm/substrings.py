@@ -12,7 +12,9 @@ hashed twice, once for their minima and once to meet them: writing them between
 
 Defined results: null or blank text has no words; a document of fewer than ``width`` words loses nothing; windows of
 one doc_id never count against the same doc_id, so rows that repeat a doc_id do not touch each other, and each text of
-such an id is judged and cut as its own; a row with null doc_id loses nothing. Other columns of the input are ignored.
+such an id is judged and cut as its own; a row with null doc_id loses nothing. Very long texts are read
+whole: a task holds the word hashes of a batch of texts, so one text may be as long as a worker has memory for about
+three times its bytes. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

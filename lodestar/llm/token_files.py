@@ -5,7 +5,8 @@ payload a self-contained shard of ``rans`` with checkpoints and checksums; order
 frequencies (symbol, freq count). Spark's committer writes them, so a task that is run twice leaves one copy.
 
 Defined results: null and empty text are the end id alone; rows that repeat a doc_id stand in the order of their text;
-null doc_ids come first. Other columns are ignored.
+null doc_ids come first. Very long texts are encoded whole; their ids may fill several blocks of one shard. Other columns
+are ignored.
 """
 
 from __future__ import annotations

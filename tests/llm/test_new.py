@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import codes, common, language, toxicity, tries
+from lodestar.llm import codes, common, decontaminate, language, toxicity, tries
 
 # --- codes
 
@@ -224,3 +224,13 @@ def test_sparse_rows_are_those_of_the_dense_formula():
     want = (logs - logs.mean(1, keepdims=True)) * 0.3
     assert np.allclose(t.rows(np.arange(40)), want[np.argsort(keys)], atol=1e-6)
     assert t.rows(np.zeros(0, np.int64)).shape == (0, 7)
+
+
+# --- items without an id
+
+
+def test_items_without_an_id_are_reported_beside_others(spark):
+    docs = spark.createDataFrame([(1, "before the first passage of a test and the second passage of a test after"), (None, "the first passage of a test")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the first passage of a test"), (4, "the second passage of a test"), (None, None)], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(docs, items).select("doc_id", "item_id", "distance").collect()}
+    assert got >= {(1, None, 0), (1, 4, 0), (None, None, 0)}

@@ -48,6 +48,26 @@ def test_near_duplicate_and_decontamination_stages(spark, docs, sf):
     assert near.columns == clean.columns == list(cp.COLUMNS)
 
 
+def test_line_stage(spark, sf):
+    rows = [(i, f"own line {i}\ncommon footer", "en", "a", 1, "e") for i in range(20)] + [(50 + i, f"common footer\nother {i}", "en", "b", 1, "e") for i in range(3)] + [(90, None, None, None, None, None), (91, "", "en", "a", 0, "e")]
+    out = {r.doc_id: r for r in cp.line_stage(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()}
+    assert len(out) == len(rows) and out[90].text is None and out[91].text == ""
+    assert all(out[i].text == f"own line {i}" and out[i].n_chars == len(out[i].text) for i in range(20))
+    assert all(out[50 + i].text == f"common footer\nother {i}" for i in range(3))  # three pages are too few to call a line boilerplate
+
+
+def test_packing_stage(spark, docs, sf):
+    out = cp.packing_stage(spark, docs, sf).toPandas()
+    assert len(out) == docs.count() and out.length.sum() == sum(len(tokens.Encoder(vocabulary("byte_bpe_50k.json")).encode((r.text or "").encode())) // 4 + 1 for r in docs.collect())
+    assert out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_run_on_an_empty_table(spark, sf, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, sf):
     out = cp.run(spark, sf).toPandas()
     source = {r["doc_id"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
