@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent}:{os.environ.get('PYTHONPATH', '')}"
 
-#: The first query also pays for the index, as "first_builds" says; later ones find it built.
+#: What is built once has entries of its own, build_index and build_vector_lists; the queries find it built.
 HEADLINE = ("term_freq", "bm25_daat_topk", "bm25_wand_topk", "bm25_bmw_topk", "evaluate_means", "exact_knn", "ivf_pq", "rrf", "sharded_topk", "tombstone_search", "open_loop_single_worker", "lru_hits", "latency_percentiles")
 
 
@@ -30,16 +30,22 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from lodestar.plans import catalog
     from lodestar.plans.catalog import QUERIES
 
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     took: dict[str, float] = {}
+    for name, build in (("build_index", catalog.index_of), ("build_vector_lists", catalog.vector_lists_of)):
+        began = time.perf_counter()
+        build(spark, sf_dir)
+        took[name] = round(time.perf_counter() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     for name in (q for q in HEADLINE if q in QUERIES):
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
         print(name, took[name], file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1], "bench_queries": asked, "first_builds": "index"}))
+    print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1], "bench_queries": asked}))
     spark.stop()
 
 

@@ -687,7 +687,7 @@ def ground_truth_sets(spark, d):
 @query()
 def index_size(spark, d):
     """Files and bytes of the written index, by table, and of the stored vector lists."""
-    ix, lists = index_of(spark, d), _lists(spark, d)
+    ix, lists = index_of(spark, d), vector_lists_of(spark, d)
     tables = {"packed": ix.packed, "terms": ix.terms, "docs": ix.docs, "codes": lists.table(spark, "codes"), "vectors": lists.table(spark, "rows")}
     return spark.createDataFrame([(name, *size_of(t)) for name, t in tables.items()], "table string, files long, bytes long")
 
@@ -713,14 +713,14 @@ def knn_recall(spark, d):
     return metrics.recall_against(_ivf(spark, d), exact_knn(spark, d), K)
 
 
-def _lists(spark, d, **options):
+def vector_lists_of(spark, d, **options):
     """Stored lists of all vectors, built once."""
     return _once(spark, d, ("ivf", *sorted(options.items())), lambda: dense.IvfPq.build(vectors_of(spark, d)[1], scratch_path(spark, "ivf"), K, **options))
 
 
 @query()
 def ivf_pq(spark, d):
-    return _lists(spark, d).search(vectors_of(spark, d)[0], K)
+    return vector_lists_of(spark, d).search(vectors_of(spark, d)[0], K)
 
 
 @query()
@@ -735,10 +735,10 @@ def ann_recall(spark, d):
     q, v = vectors_of(spark, d)
     truth = written(dense.exact_knn(q, v, K), "truth")
     runs = {
-        "ivf_pq": _lists(spark, d).search(q, K),
+        "ivf_pq": vector_lists_of(spark, d).search(q, K),
         "hnsw": dense.hnsw_search(q, v, K),
         "hnsw m=8 ef=128": dense.hnsw_search(q, v, K, m=8, ef=128),
-        "ivf_pq nlist=32": _lists(spark, d, nlist=32, nprobe=8).search(q, K),
+        "ivf_pq nlist=32": vector_lists_of(spark, d, nlist=32, nprobe=8).search(q, K),
     }
     out = None
     for name, run in runs.items():

@@ -38,16 +38,19 @@ def bucketed(df: DataFrame, name: str, buckets: int, keys: tuple[str, ...], orde
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     tidy = df.repartition(buckets, *keys).sortWithinPartitions(*order)
-    tidy.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(_table_name(name))
-    return spark.read.table(_NAMES[-1])
+    made = _table_name(name)
+    tidy.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order).option("path", path).saveAsTable(made)
+    return spark.read.table(made)
 
 
+#: Tables that the catalog knows by ``bucketed`` and ``open_bucketed``.
 _NAMES: list[str] = []
 
 
 def _table_name(name: str) -> str:
-    _NAMES.append(f"lodestar_{name}_{uuid.uuid4().hex}")
-    return _NAMES[-1]
+    made = f"lodestar_{name}_{uuid.uuid4().hex}"
+    _NAMES.append(made)
+    return made
 
 
 def open_bucketed(spark: SparkSession, path: str, schema: str, name: str, buckets: int, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
