@@ -46,3 +46,20 @@ def test_a_streamed_store_is_one_index_in_the_end(spark, tmp_path):
     stream_id = next(iter(before["batches"]))
     assert store.flush(docs, 0, stream_id) == 0  # a batch that is replayed
     assert store.manifest() == before
+
+
+def test_many_segments_are_read_and_written_once_by_a_merge(spark, tmp_path):
+    docs = spark.range(200).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("all w"), (F.col("id") % 9).cast("string")).alias("text"))
+    store = nrt.SegmentStore(spark, str(tmp_path / "store"), flush_threshold=5, merge_factor=3, max_segments=1)
+    docs.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store.attach(stream, str(tmp_path / "checkpoint"), merge=False).awaitTermination()
+    m = store.manifest()
+    files = [f for s in m["segments"] for f in (tmp_path / "store" / s["path"] / "postings" / s["part"]).glob("*.parquet")]
+    assert len(files) == len(m["segments"]) >= 40  # a file each, not one for each task
+    assert store.compact() > 10
+    made = {p.name for p in (tmp_path / "store" / "segments").iterdir()}
+    assert len(made) == 3 and len(store.manifest()["segments"]) == 1  # two batches and one merged segment, nothing in between
+    q = spark.createDataFrame([(1, "w3 all")], "qid long, text string")
+    whole = search.search(q, index.build(docs), 200, "daat")
+    assert rows(store.search(q, 200), "qid", "doc_id", "score") == rows(whole.withColumnRenamed("external_id", "doc_id"), "qid", "doc_id", "score")
