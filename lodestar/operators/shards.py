@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import analyzed
+from lodestar.operators import slices
 from lodestar.operators.index import Index, sequential_ids, term_frequencies
+from lodestar.operators.search import SLICE, asked, term_blocks
+from lodestar.sources.written import written
 
 
 def shard_of(position: Column, total: int, n: int) -> Column:
@@ -58,6 +61,37 @@ def regrouped(index: Index, group: Column, name: str, kind: str = "string", only
     return impacts(frequencies, docs.groupBy(name).agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")), name, index.k1, index.b)
 
 
+def sharded_search(queries: DataFrame, index: Index, counts: tuple[int, ...], k: int, kind: str = "string") -> DataFrame:
+    """``(shards, qid, doc_id, shard, score, rank)``: ``scatter_gather`` over an index dealt into each number of contiguous shards.
+
+    Only words of the queries are read, and their blocks are cut where shards meet; no posting moves by itself.
+    """
+    met = term_blocks(asked(queries, index), index, "docids", "tfs", "dls")
+    # read twice for each number of shards
+    met, out = written(met.select(*SLICE, "term", "qids", "min_docid", "max_docid", F.arrays_zip("docids", "tfs", "dls").alias("p")), "met"), None
+    for many in counts:
+        of = lambda c, many=many: shard_of(c, index.n, many)
+        sizes = index.docs.groupBy(of(F.col("docid")).alias("shard")).agg(F.count("*").alias("n"), F.sum("doc_len").alias("total"))
+        ends = met.withColumns({"lo": of(F.col("min_docid")), "hi": of(F.col("max_docid"))}).drop("min_docid", "max_docid")
+        across = ends.where("lo < hi").withColumn("shard", F.explode(F.sequence("lo", "hi")))
+        across = across.withColumn("p", F.filter("p", lambda x: of(x["docids"]) == F.col("shard"))).where(F.size("p") > 0)  # noqa: B023
+        cut = ends.where("lo = hi").withColumn("shard", F.col("lo")).union(across).drop("lo", "hi")
+        held = cut.groupBy("batch", "term", "shard").agg(F.sum(F.size("p")).alias("df")).join(sizes, "shard")
+        weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        # a row for each word of the queries and shard; sent to the blocks, so that these move once
+        held = F.broadcast(held.select("batch", "term", "shard", weight.alias("weight"), (F.col("total") / F.col("n")).alias("avg")))
+        score = lambda x: F.col("weight") * (x["tfs"] * (index.k1 + 1)) / (x["tfs"] + index.k1 * (1 - index.b + index.b * x["dls"] / F.col("avg")))
+        rows = cut.join(held, ["batch", "term", "shard"])
+        rows = rows.select(F.lit(many).cast("long").alias("shards"), F.col("shard").cast("long").alias("shard"), *SLICE, "term", "qids", F.col("p.docids").alias("docids"), F.transform("p", score).alias("impacts"))
+        one = slices.best(rows, ("shards", "shard", *SLICE), index.stretch, index.n, k)
+        out = one if out is None else out.union(one)
+    w = Window.partitionBy("shards", "qid", "shard").orderBy(F.desc("score"), "docid")
+    local = out.withColumn("local_rank", F.row_number().over(w)).where(F.col("local_rank") <= k)
+    top = Window.partitionBy("shards", "qid").orderBy(F.desc("score"), "shard", "local_rank")
+    best = local.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return best.join(index.docs.select("docid", F.col("external_id").cast(kind).alias("doc_id")), "docid").select("shards", "qid", "doc_id", "shard", "score", "rank")
+
+
 #: A shard's folder holds this file once its rows are all there.
 _COMPLETE = "_COMPLETE"
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import index, search, slices
+from lodestar.operators import index, search, shards, slices
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,12 @@ def test_no_pair_of_query_and_document_moves(small):
     for df in (search.daat(queries, ix, 10), search.search_stats(queries, ix)):
         moved = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
         assert moved and not [x for x in moved if "docid" in x.split("ENSURE")[0]]
+
+
+def test_shards_of_an_index_are_searched_without_single_postings(small):
+    ix, queries = small
+    got = shards.sharded_search(queries, ix, (1, 3, 4), 5, "long")
+    for n in (1, 3, 4):
+        postings = shards.regrouped(ix, shards.shard_of(F.col("docid"), ix.n, n), "shard", "long")
+        want = shards.scatter_gather(queries, postings, "shard", 5, stem=False)
+        assert rows(got.where(F.col("shards") == n), "qid", "doc_id", "shard", "score", "rank") == rows(want, "qid", "doc_id", "shard", "score", "rank")
