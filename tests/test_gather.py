@@ -38,3 +38,11 @@ def test_gaps_go_on_over_the_edge_of_a_stretch(spark, monkeypatch):
     w = Window.partitionBy("term", "block").orderBy("docid")
     want = ix.postings.select("term", "block", "docid", (F.col("docid") - F.coalesce(F.lag("docid").over(w), F.lit(0))).alias("gap"))
     assert sorted(map(tuple, index.docid_gaps(ix).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stems_by_the_ends_of_words(spark):
+    """Every suffix behind long and short beginnings, as the expressions have it."""
+    ends = [s for s, _ in (*tx.STEP2, *tx.STEP3)] + list(tx.STEP4)
+    words = sorted({a + s for a in ("", "b", "re", "troubl", "adjust", "x" + "é", "sion") for s in ends} | {"l", "ss", "ou"})
+    df = spark.createDataFrame([(w,) for w in words], "term string")
+    assert {r.term: r.out for r in tx.stem_column(df, "term", "out").collect()} == {w: gather.stem_word(w) for w in words}

@@ -111,3 +111,30 @@ def test_other_parameters_need_no_other_index(spark, skewed):
     one, two = index.build(docs, k1=1.2, b=0.75), index.build(docs).rescored(1.2, 0.75)
     q = spark.createDataFrame([(1, "b c e"), (2, "d")], "qid long, text string")
     assert sorted(map(tuple, search.search(q, two, 3).collect())) == sorted(map(tuple, search.search(q, one, 3).collect()))
+
+
+def test_blocks_are_written_in_small_numbers_and_opened_whole(spark, monkeypatch, tmp_path):
+    """No impact is written, docids begin at their part's first; a saved index by other parameters keeps its bounds."""
+    monkeypatch.setattr(index, "STRETCH", 100)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("same "), F.when(F.col("id") % 7 == 0, "seven").otherwise("other")).alias("text"))
+    ix = index.build(docs)
+    assert "impacts" not in ix.stored.columns and {ix.stored.schema[c].dataType.simpleString() for c in ("docids", "tfs", "dls")} == {"array<int>"}
+    assert ix.stored.agg(F.max(F.array_max("docids"))).first()[0] == 99
+    assert sorted(r.docid for r in ix.postings.where("term = 'seven'").collect()) == list(range(0, 1000, 7))
+    assert ix.packed.where("min_docid <> docids[0] or max_docid <> element_at(docids, -1) or round(max_impact - array_max(impacts), 9) <> 0").count() == 0
+    other = ix.rescored(1.2, 0.75)
+    other.save(str(tmp_path / "other"))
+    back = index.Index.open(spark, str(tmp_path / "other"))
+    names = ("term", "part", "block", "max_impact", "docids", "impacts")
+    assert sorted(map(tuple, back.packed.select(*names).collect())) == sorted(map(tuple, other.packed.select(*names).collect()))
+    assert back.stored.where("max_impact is null").count() == 0
+
+
+def test_lists_of_a_build_move_as_one_array(spark, monkeypatch):
+    """A word's list moves without a docid of 8 bytes, and counts only where a word is in several parts."""
+    monkeypatch.setattr(index, "STRETCH", 4)
+    rows = spark.createDataFrame([(2, "a", [0, 1, 3], [1, 2, 3], [7, 8, 9]), (6, "a", [0], [5], [6]), (2, "b", [2], [1], [4])], "base long, term string, docs array<int>, tfs array<int>, dls array<int>")
+    held = index._postings(rows, 4)
+    assert sorted((r.term, r.part, r.held, r.p) for r in held.collect()) == [("a", 0, 2, [2, 3, 1, 2, 7, 8]), ("a", 1, 1, [1, 3, 9]), ("a", 1, 1, [2, 5, 6]), ("b", 1, 1, [0, 1, 4])]
+    got = index.pack(held, 10, 5.0, 0.9, 0.4, 8, 4).orderBy("term", "part").collect()
+    assert [(r.term, r.part, r.block, r.df, r.min_docid, r.max_docid, r.docids, r.tfs, r.dls) for r in got] == [("a", 0, 0, 4, 2, 3, [2, 3], [1, 2], [7, 8]), ("a", 1, 0, 4, 5, 6, [1, 2], [3, 5], [9, 6]), ("b", 1, 0, 1, 4, 4, [0], [1], [4])]
