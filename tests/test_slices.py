@@ -56,3 +56,25 @@ def test_shards_of_an_index_are_searched_without_single_postings(small):
         postings = shards.regrouped(ix, shards.shard_of(F.col("docid"), ix.n, n), "shard", "long")
         want = shards.scatter_gather(queries, postings, "shard", 5, stem=False)
         assert rows(got.where(F.col("shards") == n), "qid", "doc_id", "shard", "score", "rank") == rows(want, "qid", "doc_id", "shard", "score", "rank")
+
+
+def test_the_first_threshold_moves_no_pair_of_query_and_document(small):
+    """The k-th score by the rarest words of each query, from blocks that move once."""
+    ix, queries = small
+    terms = search._gridded(search.query_terms(queries, ix), ix)
+    got = search._first_threshold(terms, ix, 3, search.Work())
+    moved = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and not [x for x in moved if "docid" in x.split("ENSURE")[0]]
+    held = {}
+    for r in terms.collect():
+        held.setdefault(r.qid, []).append((r.df, r.term))
+    rare = set()
+    for q, words in held.items():
+        upto = 0
+        for df, term in sorted(words):
+            if (upto + df) * 8 <= sum(x for x, _ in words) or upto < 6:
+                rare.add((q, term))
+            upto += df
+    hits = ix.postings.sparkSession.createDataFrame(sorted(rare), "qid string, term string").join(ix.postings, "term").groupBy("qid", "docid").agg(F.round(F.sum("impact"), 6).alias("score"))
+    want = search.top_k(hits, 3, "docid").where("rank = 3").select("qid", "score")
+    assert rows(got, "qid", "theta") == rows(want, "qid", "score") and len(rows(got, "qid")) > 20
