@@ -46,3 +46,42 @@ def test_stems_by_the_ends_of_words(spark):
     words = sorted({a + s for a in ("", "b", "re", "troubl", "adjust", "x" + "é", "sion") for s in ends} | {"l", "ss", "ou"})
     df = spark.createDataFrame([(w,) for w in words], "term string")
     assert {r.term: r.out for r in tx.stem_column(df, "term", "out").collect()} == {w: gather.stem_word(w) for w in words}
+
+
+def test_texts_in_order_of_their_ids_do_not_move(spark, monkeypatch, tmp_path):
+    """Files in order are counted where they lie, whatever partition a file is in; others move, and the index is the same."""
+    seen, written = [], index.written
+
+    def spied(df, name, *more):
+        seen.append((name, "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name, *more)
+
+    def postings(docs):
+        seen.clear()
+        ix = index.build(docs)
+        keys = {r.docid: r.external_id for r in ix.docs.collect()}
+        assert sorted(keys) == list(range(ix.n)) and len([x for x in seen if x[0] == "lists"]) == 1
+        rows = sorted((r.term, r.docid, keys[r.docid], r.tf, r.dl) for r in ix.postings.collect())
+        return dict(seen)["lists"], rows
+
+    monkeypatch.setattr(index, "written", spied)
+    monkeypatch.setattr(gather, "CHUNK_POSTINGS", 300)
+    docs = spark.range(4000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("same w"), F.col("id") % 50, F.lit(" v"), F.floor(F.col("id") / 9)).alias("text"))
+    for i, lo in enumerate((6000, 0, 9000, 3000)):  # files in another order than their rows
+        docs.where(F.col("doc_id").between(lo, lo + 2999)).coalesce(1).write.parquet(f"{tmp_path}/d/part={i}")
+    files = spark.read.parquet(f"{tmp_path}/d").select("doc_id", "text")
+    moved, want = postings(docs.repartition(3))
+    assert moved and [r[2] for r in want if r[0] == "same"] == [str(3 * i) for i in range(4000)]
+    for there in (docs, files):
+        assert postings(there) == (False, want)
+    assert postings(docs.orderBy("doc_id").coalesce(1)) == (True, want)  # one task would count all
+    assert postings(docs.select(F.col("doc_id").cast("string"), "text"))[0]  # as text, 10 is before 9
+    assert postings(docs.union(spark.createDataFrame([(None, "more"), (7, "more")], "doc_id long, text string")))[0]
+
+
+def test_rising_keys(spark):
+    of = lambda *parts: gather.rising(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda x: x).map(lambda x: (x,)).toDF("k int"), "k")
+    assert of(range(9), range(9, 18)) and of(range(9, 18), range(9)) and of([1, 2, 2], [2, 2, 3])
+    assert not of(range(9), range(7, 16)) and not of([3, 1, 2], [4, 5, 6]) and not of([1, None], [2, 3]) and not of(range(90), [100]) and not of([], [])
+    long = [*range(3000, 6000), *range(3000)]
+    assert of(long, range(6000, 12000)) and not of(long, range(5000, 11000))

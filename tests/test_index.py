@@ -138,3 +138,14 @@ def test_lists_of_a_build_move_as_one_array(spark, monkeypatch):
     assert sorted((r.term, r.part, r.held, r.p) for r in held.collect()) == [("a", 0, 2, [2, 3, 1, 2, 7, 8]), ("a", 1, 1, [1, 3, 9]), ("a", 1, 1, [2, 5, 6]), ("b", 1, 1, [0, 1, 4])]
     got = index.pack(held, 10, 5.0, 0.9, 0.4, 8, 4).orderBy("term", "part").collect()
     assert [(r.term, r.part, r.block, r.df, r.min_docid, r.max_docid, r.docids, r.tfs, r.dls) for r in got] == [("a", 0, 0, 4, 2, 3, [2, 3], [1, 2], [7, 8]), ("a", 1, 0, 4, 5, 6, [1, 2], [3, 5], [9, 6]), ("b", 1, 0, 1, 4, 4, [0], [1], [4])]
+
+
+def test_numbers_of_a_list_move_in_two_bytes(spark):
+    """Where they fit; a list with a longer document or a higher count moves as it is, and both make one list."""
+    rows = [("a", 0, 2, [3, 65535, 1, 65535, 7, 65535]), ("a", 0, 2, [1, 2, 1, 70000, 8, 70001]), ("b", 0, 1, [0, 1, 1])]
+    held = spark.createDataFrame(rows, "term string, part long, held int, p array<int>")
+    moved = held.select("term", *index._narrow())
+    assert moved.schema["near"].dataType.simpleString() == "array<smallint>"
+    assert [(r.near is None, r.far) for r in moved.orderBy("term", "far").collect()] == [(False, None), (True, rows[1][3]), (False, None)]
+    got = index.pack(held, 10, 5.0, 0.9, 0.4, 8, 1 << 16).orderBy("term").collect()
+    assert [(r.term, r.docids, r.tfs, r.dls) for r in got] == [("a", [1, 2, 3, 65535], [1, 70000, 1, 65535], [8, 70001, 7, 65535]), ("b", [0], [1], [1])]
